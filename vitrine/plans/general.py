@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.operators import profile, snapshots
-from vitrine.session import blank_free
+from vitrine.operators import profile, schema_drift, snapshots
+from vitrine.session import blank_free, checkpointed
 from vitrine.sources.tables import table
 
 PLACE = ["slug", "storefront"]
@@ -155,9 +155,45 @@ UNION ALL SELECT 'load', load_id, 'headline_offer' FROM d WHERE hn > 0.287
 UNION ALL SELECT 'load', load_id, 'status' FROM d WHERE sn > 0.287 OR ss > 0.287
 """
 
-QUERIES = {"p2_found": p2_found, "p2_summary": p2_summary, "p4_found": p4_found, "p4_profile": p4_profile, "p4_control": p4_control}
+FILE_BLOCKS = ["listing", "reputation", "trading"]
+
+
+def file_values(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Path-value rows of capture_files (kept in the checkpoint folder, as they are read several times) and the files delivered."""
+    raw = table(spark, folder, "capture_files")
+    values = schema_drift.path_values(raw, ["raw_id", "feed_id", "file_no", *PLACE], FILE_BLOCKS)
+    return checkpointed(values), raw.select("feed_id", "file_no")
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    values, files = file_values(spark, folder)
+    return schema_drift.drift(values, files, "feed_id", "file_no", PLACE, "raw_id")
+
+
+def p6_table(spark: SparkSession, folder: str) -> DataFrame:
+    """The consistent table in long form: each value under its canonical field and type, with failed casts marked."""
+    values, files = file_values(spark, folder)
+    changes = schema_drift.drift(values, files, "feed_id", "file_no", PLACE, "raw_id")
+    names = schema_drift.canonical_names(changes, schema_drift.fields_by_file(values, "feed_id", "file_no"))
+    return schema_drift.unified(values, names, ["raw_id", "feed_id", "file_no", *PLACE]).withColumn("items", F.to_json("items"))
+
+
+def p6_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Per feed, file and block: records, absent and unreadable ones."""
+    values, _ = file_values(spark, folder)
+    per = values.groupBy("feed_id", "file_no", "block_name", "raw_id").agg(F.max(F.col("kind") == "!absent").alias("a"), F.max(F.col("kind") == "!unreadable").alias("u"))
+    return per.groupBy("feed_id", "file_no", "block_name").agg(F.count(F.lit(1)).alias("n_records"), F.count_if("a").alias("n_absent"), F.count_if("u").alias("n_unreadable"))
+
+
+P6_REPORT_SQL = " UNION ALL ".join(
+    f"SELECT feed_id, file_no, '{b}' AS block_name, count(*) AS n_records, count(*) FILTER ({b} IS NULL) AS n_absent, count(*) FILTER ({b} IS NOT NULL AND NOT json_valid({b})) AS n_unreadable FROM capture_files GROUP BY 1, 2"
+    for b in FILE_BLOCKS
+)
+
+QUERIES = {"p2_found": p2_found, "p2_summary": p2_summary, "p4_found": p4_found, "p4_profile": p4_profile, "p4_control": p4_control, "p6_found": p6_found, "p6_table": p6_table, "p6_report": p6_report}
 SQL = {
     "p2_found": P2_SQL,
     "p2_summary": "SELECT src, slug, storefront, on_date, count(*) FILTER (change_kind = 'added') AS n_added, count(*) FILTER (change_kind = 'removed') AS n_removed, count(*) FILTER (change_kind = 'changed') AS n_changed FROM (" + P2_SQL + ") GROUP BY ALL",
     "p4_found": P4_SQL,
+    "p6_report": P6_REPORT_SQL,
 }
