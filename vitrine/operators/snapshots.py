@@ -72,24 +72,22 @@ def set_changes(snapshots: DataFrame, group: list[str], date: str, items: str, e
         dictionary = per_item.join(dictionary, [*group, "_shard", "item"])
     # words of the bitmaps: 64 ordinals to a word, zero words aren't stored
     word, bit = F.shiftright("_ord", 6).alias("_word"), F.expr("shiftleft(1L, cast(_ord & 63 as int))")
-    spread = dictionary.select(*group, "_shard", word, bit.alias("_bit"), F.explode("_at").alias("_at"))
+    spread = dictionary.select(*group, "_shard", word, bit.alias("_bit"), "item", F.explode("_at").alias("_at"))
     sides = spread.select(
-        *group, "_shard", "_word",
+        *group, "_shard", "_word", F.struct("_bit", "item").alias("_e"),
         F.explode(F.array(
             F.struct(F.when(~F.col("_at.h"), F.col("_at.d")).alias("on"), F.col("_bit").alias("cur"), F.lit(0).cast("long").alias("prev")),
             F.struct(F.col("_at.n").alias("on"), F.lit(0).cast("long").alias("cur"), F.col("_bit").alias("prev")),
         )).alias("_s"),
     ).filter("_s.on IS NOT NULL")
-    words = sides.groupBy(*group, "_shard", "_word", F.col("_s.on").alias(date)).agg(F.expr("bit_or(_s.cur)").alias("_cur"), F.expr("bit_or(_s.prev)").alias("_prev"))
-    words = words.select("*", F.expr("_cur & ~_prev").alias("_added"), F.expr("_prev & ~_cur").alias("_removed")).filter("_added <> 0 OR _removed <> 0")
-    bits = lambda c: f"filter(sequence(0, 63), i -> shiftrightunsigned({c}, i) & 1L = 1L)"
-    changed = words.select(
-        *group, "_shard", "_word", date,
-        F.expr(f"explode(concat(transform({bits('_added')}, i -> named_struct('change_kind', 'added', 'i', i)), transform({bits('_removed')}, i -> named_struct('change_kind', 'removed', 'i', i))))").alias("_c"),
-    ).select(*group, "_shard", date, F.col("_c.change_kind").alias("change_kind"), (F.col("_word") * 64 + F.col("_c.i")).alias("_ord"))
-    names = dictionary.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)], F.col("_shard").alias("_gs"), F.col("_ord").alias("_go"), "item")
-    on = [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(group)] + [F.col("_shard") == F.col("_gs"), F.col("_ord") == F.col("_go")]
-    return changed.join(names, on).select(*group, date, "change_kind", "item")
+    # a word comes with the part of the dictionary that it needs, 64 entries at most: nothing is looked up later
+    words = sides.groupBy(*group, "_shard", "_word", F.col("_s.on").alias(date)).agg(
+        F.expr("bit_or(_s.cur)").alias("_cur"), F.expr("bit_or(_s.prev)").alias("_prev"), F.collect_set("_e").alias("_names")
+    )
+    words = words.select(*group, date, "_names", F.expr("_cur & ~_prev").alias("_added"), F.expr("_prev & ~_cur").alias("_removed")).filter("_added <> 0 OR _removed <> 0")
+    named = lambda c, kind: f"transform(filter(_names, e -> e._bit & {c} <> 0), e -> named_struct('change_kind', '{kind}', 'item', e.item))"
+    changed = words.select(*group, date, F.expr(f"explode(concat({named('_added', 'added')}, {named('_removed', 'removed')}))").alias("_c"))
+    return changed.select(*group, date, "_c.change_kind", "_c.item")
 
 
 def _dense(per_item: DataFrame, group: list[str]) -> DataFrame:
