@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -60,6 +61,20 @@ def lookup_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "in
     return left.withColumn("_salt", salt).join(copies, [*on, "_salt"], how).drop("_salt")
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once a context, so that none depends on the driver's folder."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    here = os.path.dirname(os.path.abspath(__file__))
+    made = shutil.make_archive(os.path.join(tempfile.mkdtemp(), "vitrine"), "zip", os.path.dirname(here), os.path.basename(here))
+    sc.addPyFile(made)
+
+
 def blank_free(c: Column) -> Column:
     """Trims blanks of any kind (no-break ones too) and folds their runs into one space."""
     return F.trim(F.regexp_replace(c, r"(?U)[\s   ]+", " "))

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vitrine.session import ship_package
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One table of the folder; a single file and a directory of parts read alike."""
+    ship_package(spark)
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
