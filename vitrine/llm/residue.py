@@ -91,23 +91,32 @@ def classify(m: Column) -> Column:
 
 
 def messages(df: DataFrame, item: str, source: str, fields: dict[str, Column]) -> DataFrame:
-    """(item, source, masked, message_hash): a row per record and non-blank field."""
-    texts = F.array(*[masked(c) for c in fields.values()])
-    rows = df.select(F.col(item).alias("item"), F.col(source).alias("source"), F.explode(F.array_distinct(texts)).alias("masked")).filter("masked IS NOT NULL AND masked <> ''")
-    return rows.withColumn("message_hash", F.xxhash64("masked", F.lit(7)))
+    """(item, source, message_hash, message): a row per record and distinct field text; no text work is done here."""
+    rows = df.select(F.col(item).alias("item"), F.col(source).alias("source"), F.explode(F.array_compact(F.array_distinct(F.array(*fields.values())))).alias("message"))
+    return rows.withColumn("message_hash", F.xxhash64("message"))
 
 
-def classified(rows: DataFrame) -> DataFrame:
-    """(message_hash, masked, n_rows, n_sources, verdict): each distinct masked message, counted across sources and classified once.
+def flagged_messages(rows: DataFrame) -> DataFrame:
+    """(message_hash, message, masked, verdict): the distinct messages that are no content, kept.
 
-    Distinct sources are an HLL estimate, exact for the small counts that matter here, so that a
-    message which every source shows stays one bounded state.
+    Distinct texts are found by hash aggregation before anything is masked, so the patterns
+    see each text once, not each row; equal masked forms share their verdict. The generator
+    keeps the optimiser from working a masked form out again for every use.
     """
-    groups = rows.groupBy("message_hash", "masked").agg(F.count(F.lit(1)).alias("n_rows"), F.approx_count_distinct("source").alias("n_sources"))
-    return groups.withColumn("verdict", classify(F.col("masked")))
+    texts = rows.groupBy("message_hash", "message").agg(F.lit(1).alias("one"))
+    forms = F.transform(F.transform(F.array("message"), masked), lambda m: F.struct(m.alias("masked"), classify(m).alias("verdict")))
+    judged = texts.select("message_hash", "message", F.explode(F.filter(forms, lambda f: f["verdict"].isNotNull())).alias("f"))
+    return checkpointed(judged.select("message_hash", "message", "f.masked", "f.verdict"))
 
 
 def flagged_items(rows: DataFrame) -> DataFrame:
     """(item): records with at least one message that is no content."""
-    bad = checkpointed(classified(rows).filter("verdict IS NOT NULL").select("message_hash", "masked"))
-    return lookup_join(rows.select("item", "message_hash", "masked"), bad, ["message_hash", "masked"]).select("item").distinct()
+    bad = flagged_messages(rows).select("message_hash", "message")
+    return lookup_join(rows.select("item", "message_hash", "message"), bad, ["message_hash", "message"]).select("item").distinct()
+
+
+def recurrence(rows: DataFrame) -> DataFrame:
+    """(masked, verdict, n_rows, n_sources): how widely each masked form that is no content recurs; sources are an HLL estimate, so a form that every source shows stays one bounded state."""
+    bad = flagged_messages(rows).select("message_hash", "message", "masked", "verdict")
+    hits = lookup_join(rows, bad, ["message_hash", "message"])
+    return hits.groupBy("masked", "verdict").agg(F.count(F.lit(1)).alias("n_rows"), F.approx_count_distinct("source").alias("n_sources"))
