@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import encoding, residue, term_frequency
+from vitrine.llm import canonical, encoding, residue, term_frequency
 from vitrine.sources.tables import table
 
 RARE_RECORDS, COMMON_SHARE = 2, 0.25
@@ -47,7 +47,21 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p3_messages(spark: SparkSession, folder: str) -> DataFrame:
     """The distinct messages that are no content, with how widely they recur."""
-    return residue.classified(_messages(spark, folder)).filter("verdict IS NOT NULL").drop("message_hash")
+    return residue.recurrence(_messages(spark, folder))
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    brands = table(spark, folder, "brand_list")
+    typed = canonical.map_names(table(spark, folder, "competitors"), "competitor_id", "name", brands, "slug", "brand", "aliases")
+    named = canonical.find_mentions(table(spark, folder, "aio"), "answer_id", "answer_text", brands, "slug", "brand", "aliases")
+    row = lambda df, src: df.select(F.lit(src).alias("src"), F.col("item").alias("row_id"), F.col("key").alias("slug"))
+    return row(typed, "competitors").unionByName(row(named, "aio"))
+
+
+def p1_unmatched(spark: SparkSession, folder: str) -> DataFrame:
+    """The typed values that mean no entry, with their frequency."""
+    found = p1_found(spark, folder).filter("src = 'competitors' AND slug = 'unmatched'").select(F.col("row_id").alias("competitor_id"))
+    return table(spark, folder, "competitors").join(found, "competitor_id").groupBy("name").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -58,5 +72,5 @@ def p9_restored(spark: SparkSession, folder: str) -> DataFrame:
     return encoding.restored_texts(table(spark, folder, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p9_found": p9_found, "p9_restored": p9_restored, "p3_found": p3_found, "p3_messages": p3_messages, "p5_found": p5_found, "p5_counts": p5_counts}
+QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p9_found": p9_found, "p9_restored": p9_restored, "p3_found": p3_found, "p3_messages": p3_messages, "p5_found": p5_found, "p5_counts": p5_counts}
 SQL = {"p5_found": f"SELECT field_name, term, mark FROM ({P5_SQL}) WHERE mark IS NOT NULL", "p5_counts": P5_SQL}
