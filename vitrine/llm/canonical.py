@@ -29,6 +29,8 @@ from vitrine.session import blank_free, checkpointed, lookup_join
 THRESHOLD, LEAD = 0.15, 0.06
 #: Trigrams that a candidate shares at least, edits that are confirmed at most (one below LONG_NAME letters), shortest form that is matched by likeness.
 LEAST_SHARED, MOST_EDITS, LONG_NAME, SHORTEST = 2, 2, 7, 5
+#: Within a text, where words of any kind stand, two edits are allowed from this length on only.
+LONG_WORD = 8
 #: A leading word stands for its entry from this length on.
 LEAD_WORD = 5
 #: Names of the reference list beyond which it isn't held as a small table any more.
@@ -78,10 +80,10 @@ def reference_names(entries: DataFrame, key: str, name: str, aliases: str | None
     # joined names also with the joiner run in, as web addresses have them
     run_in = F.when(plain(F.col("typed")).rlike(r"[&+]|\band\b"), F.array(*[F.array_join(words_of(F.col("p"), ADDED), j) for j in ("and", "et", "n", "y")]))
     each = each.withColumn("p", F.regexp_replace(plain(F.col("typed")), r"\band\b", " "))
-    full = each.select("key", F.explode(F.concat(F.array(squashed(F.col("typed"))), F.coalesce(run_in, F.array().cast("array<string>")))).alias("name"))
-    lead = entries.select(F.col(key).alias("key"), F.try_element_at(words_of(plain(F.col(name)), (*ADDED, *JOINERS)), F.lit(1)).alias("name")).filter(F.length("name") >= LEAD_WORD)
-    both = full.unionByName(lead).filter("name <> ''").distinct()
-    return both.groupBy("name").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("n")).filter("n = 1").select("key", "name")
+    full = each.select("key", F.explode(F.concat(F.array(squashed(F.col("typed"))), F.coalesce(run_in, F.array().cast("array<string>")))).alias("name"), (F.size(words_of(F.col("p"), (*ADDED, *JOINERS))) > 1).alias("joined"))
+    lead = entries.select(F.col(key).alias("key"), F.try_element_at(words_of(plain(F.col(name)), (*ADDED, *JOINERS)), F.lit(1)).alias("name"), F.lit(False).alias("joined")).filter(F.length("name") >= LEAD_WORD)
+    both = full.unionByName(lead).filter("name <> ''")
+    return both.groupBy("name").agg(F.min("key").alias("key"), F.max("key").alias("other"), F.min("joined").alias("joined")).filter("key = other").select("key", "name", "joined")
 
 
 class NgramIndex:
@@ -92,7 +94,7 @@ class NgramIndex:
         count = self.names.limit(MAX_NAMES + 1).count()
         self.small = count <= MAX_NAMES
         n = F.lit(float(max(count, 1) if self.small else self.names.count()))
-        posted = self.names.select("key", "name", F.explode(grams(F.col("name"))).alias("gram"))
+        posted = self.names.select("key", "name", "joined", F.explode(grams(F.col("name"))).alias("gram"))
         # weight of a gram: its inverse frequency over the list, squared as it enters both vectors
         weight = posted.groupBy("gram").agg((F.log(1 + n / F.count(F.lit(1))) ** 2).alias("w"))
         postings = posted.join(weight, "gram")
@@ -103,19 +105,21 @@ class NgramIndex:
     def _hold(self, df: DataFrame) -> DataFrame:
         return F.broadcast(df) if self.small else df
 
-    def match(self, values: DataFrame, value: str, threshold: float = THRESHOLD, lead: float = LEAD) -> DataFrame:
-        """(value, key, score) for distinct values that reach an entry."""
+    def match(self, values: DataFrame, value: str, threshold: float = THRESHOLD, lead: float = LEAD, long_name: int = LONG_NAME) -> DataFrame:
+        """(value, key, score) for distinct values that reach an entry. A value whose column _pair is true (two words run together) is held against names of several words only."""
+        if "_pair" not in values.columns:
+            values = values.withColumn("_pair", F.lit(False))
         exact = values.join(self._hold(self.names), values[value] == self.names["name"]).select(value, "key", F.lit(1.0).alias("score"))
         rest = values.join(self._hold(self.names.select("name")), values[value] == F.col("name"), "left_anti").filter(F.length(value) >= SHORTEST)
-        flat = rest.select(value, F.size(grams(F.col(value))).alias("n"), F.explode(grams(F.col(value))).alias("gram"))
-        hits = flat.join(self._hold(self.postings), "gram")
+        flat = rest.select(value, "_pair", F.size(grams(F.col(value))).alias("n"), F.explode(grams(F.col(value))).alias("gram"))
+        hits = flat.join(self._hold(self.postings), "gram").filter("joined OR NOT _pair")
         shared = hits.groupBy(value, "key", "name").agg(F.sum("w").alias("dot"), F.sum("w").alias("known"), F.count(F.lit(1)).alias("common"), F.first("n").alias("n"), F.first("norm").alias("norm"))
         near = shared.filter((F.col("common") >= LEAST_SHARED) & (F.abs(F.length(value) - F.length("name")) <= MOST_EDITS))
         # grams of the value that this name hasn't are unknown here: they count at the mean weight
         own = F.col("known") + (F.col("n") - F.col("common")) * self.typical
         near = near.withColumn("score", F.col("dot") / F.sqrt(own * F.col("norm"))).filter(F.col("score") >= threshold)
         near = near.filter(F.levenshtein(value, "name", 2 * MOST_EDITS) >= 0).withColumn("edits", _edits(F.col(value), F.col("name")))
-        allowed = F.when(F.length(value) < LONG_NAME, 1).otherwise(MOST_EDITS)
+        allowed = F.when(F.length(value) < long_name, 1).otherwise(MOST_EDITS)
         # fewest edits first, then the higher cosine; the next entry must need more edits or trail by the lead
         order = F.struct((-F.col("edits")).alias("e"), F.col("score").alias("s"), F.col("key").alias("k"))
         per_key = near.filter(F.col("edits") <= allowed).groupBy(value, "key").agg(F.max(order).alias("o"))
@@ -160,10 +164,15 @@ def find_mentions(df: DataFrame, item: str, text: str, entries: DataFrame, key:
     """(item, key): every entry that a text names, once."""
     names = reference_names(entries, key, name, aliases)
     index = NgramIndex(names)
-    # windows of one and two words: a name is its leading word and at most one more, joiners apart
-    w = words_of(plain(F.col(text)), (*JOINERS, "the"))
-    pairs = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat(F.element_at("w", i), F.element_at("w", i + 1))))
-    windows = df.select(F.col(item).alias("item"), w.alias("w")).select("item", F.explode(F.array_distinct(F.concat("w", F.coalesce(pairs, F.array().cast("array<string>"))))).alias("form"))
-    forms = windows.groupBy("form").agg(F.lit(1).alias("one")).select("form")
-    found = checkpointed(index.match(forms, "form").select("form", "key"))
-    return lookup_join(windows, found, ["form"]).select("item", "key").distinct()
+    # windows of one and two words: a name is its leading word and at most one more. What follows a joining sign
+    # is the second part of a name and never stands alone; joining words are dropped.
+    marked = F.regexp_replace(F.regexp_replace(plain(F.col(text)), r"\s*[&+]\s*", " \u0001"), r"['’]s\b|['’`´]", "")
+    w = F.filter(F.split(marked, "[^\\p{L}\\p{Nd}\u0001]+"), lambda x: (x != "") & ~x.isin("the", *JOINERS))
+    bare = lambda x: F.translate(x, "\u0001", "")
+    none = F.array().cast("array<struct<form:string,_pair:boolean>>")
+    single = F.transform(F.filter("w", lambda x: ~x.startswith("\u0001")), lambda x: F.struct(x.alias("form"), F.lit(False).alias("_pair")))
+    pairs = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.struct(bare(F.concat(F.element_at("w", i), F.element_at("w", i + 1))).alias("form"), F.lit(True).alias("_pair"))))
+    windows = df.select(F.col(item).alias("item"), w.alias("w")).select("item", F.explode(F.array_distinct(F.concat(single, F.coalesce(pairs, none)))).alias("_f")).select("item", "_f.form", "_f._pair")
+    forms = windows.groupBy("form").agg(F.min("_pair").alias("_pair"))
+    found = checkpointed(index.match(forms, "form", long_name=LONG_WORD).select("form", "key"))
+    return lookup_join(windows.select("item", "form"), found, ["form"]).select("item", "key").distinct()

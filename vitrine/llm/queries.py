@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import canonical, encoding, residue, term_frequency
+from vitrine.llm import canonical, encoding, mixing, packing, residue, term_frequency, tokens
 from vitrine.sources.tables import table
 
 RARE_RECORDS, COMMON_SHARE = 2, 0.25
@@ -64,6 +64,26 @@ def p1_unmatched(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "competitors").join(found, "competitor_id").groupBy("name").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+def p7_pack(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document, or part of an oversized one, with its container for each capacity."""
+    docs = tokens.sized(table(spark, folder, "documents").select("doc_id", "text"), "text")
+    return packing.pack(docs, "doc_id", table(spark, folder, "pack_limits")).withColumnRenamed("item", "doc_id")
+
+
+def p7_report(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.report(p7_pack(spark, folder), table(spark, folder, "pack_limits"))
+
+
+def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """Every use of a document in each mix, in the order of the mix."""
+    docs = tokens.sized(table(spark, folder, "documents").select("doc_id", "source", "text"), "text")
+    return mixing.mix(docs, "doc_id", "source", table(spark, folder, "mix_targets")).withColumnRenamed("item", "doc_id")
+
+
+def p8_report(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.report(p8_mix(spark, folder), table(spark, folder, "mix_targets"))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return encoding.garbled_tokens(table(spark, folder, "documents"), "doc_id", "text").select("doc_id").distinct()
 
@@ -72,5 +92,5 @@ def p9_restored(spark: SparkSession, folder: str) -> DataFrame:
     return encoding.restored_texts(table(spark, folder, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p9_found": p9_found, "p9_restored": p9_restored, "p3_found": p3_found, "p3_messages": p3_messages, "p5_found": p5_found, "p5_counts": p5_counts}
+QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p7_pack": p7_pack, "p7_report": p7_report, "p8_mix": p8_mix, "p8_report": p8_report, "p9_found": p9_found, "p9_restored": p9_restored, "p3_found": p3_found, "p3_messages": p3_messages, "p5_found": p5_found, "p5_counts": p5_counts}
 SQL = {"p5_found": f"SELECT field_name, term, mark FROM ({P5_SQL}) WHERE mark IS NOT NULL", "p5_counts": P5_SQL}
