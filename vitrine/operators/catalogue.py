@@ -63,7 +63,7 @@ def collect(sitemaps: DataFrame, robots: DataFrame) -> DataFrame:
     /sitemap.xml; an index leads to its product children (all of them where none is named so).
     Handles by path and by image are both read; the larger set wins, the path's on a tie.
     """
-    roots = robots.select("slug", F.explode(F.when(F.size(sitemaps_of_robots(F.col("body"))) > 0, sitemaps_of_robots(F.col("body"))).otherwise(F.array(F.concat(F.rtrim(F.lit("/"), F.col("base_url")), F.lit("/sitemap.xml"))))).alias("url"))
+    roots = robots.select("slug", F.explode(F.when(F.size(sitemaps_of_robots(F.col("body"))) > 0, sitemaps_of_robots(F.col("body"))).otherwise(F.array(F.concat(F.rtrim(F.col("base_url"), F.lit("/")), F.lit("/sitemap.xml"))))).alias("url"))
     found = roots.join(sitemaps, ["slug", "url"]).filter(is_sitemap(F.col("body")))
     pages = found.filter(~is_index(F.col("body"))).select("slug", "url", "body")
     children = found.filter(is_index(F.col("body"))).select("slug", F.posexplode(locs(F.col("body"))).alias("pos", "url")).withColumn("product", is_product_sitemap(F.col("url")))
