@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 def matchers(brands: DataFrame) -> DataFrame:
     """(slug, brand_ord, name, lead, pattern): the exact spellings of a brand; '&' also as 'and' and '+', blanks of any length, never inside a word."""
-    names = brands.select("slug", F.row_number().over(Window.orderBy("slug")).alias("brand_ord"), F.explode(F.concat(F.array("brand"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name")).filter("trim(name) <> ''")
+    # the roster's order, over one row a brand
+    roster = brands.select("slug", "brand", "aliases", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("slug")).alias("brand_ord"))
+    names = roster.select("slug", "brand_ord", F.explode(F.concat(F.array("brand"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name")).filter("trim(name) <> ''")
     variants = F.array_distinct(F.array(F.col("name"), F.regexp_replace("name", r"\s*&\s*", " and "), F.regexp_replace("name", r"\s*&\s*", " + ")))
     spelt = names.select("slug", "brand_ord", F.explode(F.transform(variants, lambda v: F.lower(F.trim(v)))).alias("name")).distinct()
     quoted = F.regexp_replace(F.regexp_replace("name", r"([\\.^$|?*+()\[\]{}])", r"\\$1"), r"\s+", r"\\s+")

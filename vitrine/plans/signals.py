@@ -104,6 +104,17 @@ def as_text(df: DataFrame) -> DataFrame:
     return df.withColumns({f.name: F.col(f.name).cast("string") for f in df.schema.fields if f.dataType.typeName() == "date"})
 
 
+_B = r"[^\p{L}\p{N}_]"
+MENTIONS = (
+    r"""names AS (SELECT slug, row_number() OVER (ORDER BY slug) AS ord, brand AS name, aliases FROM brand_list), spelt AS (
+SELECT slug, ord, unnest(list_concat([name], coalesce(aliases, []))) AS name FROM names), v AS (SELECT slug, ord, lower(trim(unnest([name, regexp_replace(name, '\s*&\s*', ' and ', 'g'), regexp_replace(name, '\s*&\s*', ' + ', 'g')]))) AS name FROM spelt WHERE trim(name) <> ''),
+p AS (SELECT DISTINCT slug, ord, '(?s)^((?:.*?B)??)' || regexp_replace(regexp_replace(name, '([\\.^$|?*+()\[\]{}])', '\\\1', 'g'), '\s+', '\\s+', 'g') || '(?:$|B)' AS pat, regexp_extract(name, '^[\p{L}\p{N}_]+') AS lead FROM v),
+a AS (SELECT answer_id AS item, lower(answer_text) AS t FROM aio WHERE answer_text IS NOT NULL),
+m AS (SELECT item, slug, ord, min(length(regexp_extract(t, pat, 1)) + 1) AS pos FROM a JOIN p ON contains(t, lead) WHERE regexp_matches(t, pat) GROUP BY 1, 2, 3),
+men AS (SELECT item, slug, pos, row_number() OVER (PARTITION BY item ORDER BY pos, ord) AS rank FROM m)"""
+).replace("B)", _B + ")")
+
+
 def query(name: str, sql: str | None = None, dates: tuple[str, ...] = ()):
     """Registers a query and its SQL; dates: the SQL's date columns."""
 
@@ -168,7 +179,11 @@ def _(s, d):
     return _timeline(s, d).select(*PLACE, DAY, "event", "detail")
 
 
-@query("e12_capped_timeline")
+_RULES = ("sale_started", "sale_ended", "discount", "hero_changed", "code_added", "bnpl_added", "bnpl_removed", "rating_changed", "reviews_added", "price_shift")
+_SEQ = "CAST(row_number() OVER (PARTITION BY slug, storefront, capture_date ORDER BY CASE " + " ".join(f"WHEN event LIKE '{r}%' THEN {i}" for i, r in enumerate(_RULES)) + " END, detail) - 1 AS INT) AS seq"
+
+
+@query("e12_capped_timeline", _STATE + f", s AS (SELECT *, {_SEQ} FROM e) SELECT * FROM s ORDER BY capture_date DESC, slug DESC, storefront DESC, seq LIMIT 400", ("capture_date",))
 def _(s, d):
     return history.capped_timeline(_timeline(s, d), PLACE, DAY)
 
@@ -231,7 +246,7 @@ def _(s, d):
     return _monthly(s, d)
 
 
-@query("v24_mix_trend")
+@query("v24_mix_trend", f"WITH {_MONTHLY} SELECT *, CAST(floor(share + 0.5) - lag(floor(share + 0.5)) OVER (PARTITION BY category ORDER BY period) AS BIGINT) AS delta FROM m")
 def _(s, d):
     return views.trend_change(_monthly(s, d), "category")
 
@@ -259,7 +274,19 @@ def _(s, d):
     return digest.anchors(records(s, d), DAY)
 
 
-@query("d03_changes")
+_DIGEST = f"""WITH {CAP}, an AS (SELECT max(capture_date) AS today, coalesce((SELECT max(capture_date) FROM cap WHERE capture_date <= (SELECT max(capture_date) FROM cap) - 7), min(capture_date)) AS prior FROM cap),
+nw AS (SELECT ok.* FROM ok, an WHERE capture_date <= today QUALIFY row_number() OVER (PARTITION BY slug ORDER BY capture_date DESC, captured_at DESC, capture_id DESC) = 1),
+th AS (SELECT ok.* FROM ok, an WHERE capture_date <= prior QUALIFY row_number() OVER (PARTITION BY slug ORDER BY capture_date DESC, captured_at DESC, capture_id DESC) = 1),
+y AS (SELECT nw.slug, nullif(nw.headline_offer, '') AS h, nullif(th.headline_offer, '') AS h0, coalesce(nw.max_discount_pct, 0) AS p, coalesce(th.max_discount_pct, 0) AS p0, coalesce(nw.hero_message, '') AS m, coalesce(th.hero_message, '') AS m0,
+  coalesce(nw.discount_codes, []) AS c, coalesce(th.discount_codes, []) AS c0 FROM nw JOIN th USING (slug)), e AS (
+SELECT slug, 'sale_started' AS event, h AS detail, 0 AS o FROM y WHERE h0 IS NULL AND h IS NOT NULL
+UNION ALL SELECT slug, 'sale_ended', '', 1 FROM y WHERE h0 IS NOT NULL AND h IS NULL
+UNION ALL SELECT slug, CASE WHEN p > p0 THEN 'discount_deepened' ELSE 'discount_eased' END, p0 || ' to ' || p, 2 FROM y WHERE (h IS NULL) = (h0 IS NULL) AND p <> 0 AND p <> p0
+UNION ALL SELECT slug, 'hero_changed', m, 3 FROM y WHERE m <> m0 AND m <> ''
+UNION ALL SELECT slug, 'code_added', unnest(list_filter(list_distinct(c), lambda z: NOT list_contains(c0, z))), 4 FROM y)"""
+
+
+@query("d03_changes", _DIGEST + ", s AS (SELECT *, CAST(row_number() OVER (PARTITION BY slug ORDER BY o, detail) - 1 AS INT) AS seq FROM e) SELECT slug, seq, event, detail FROM s ORDER BY slug, seq LIMIT 25")
 def _(s, d):
     return digest.listed(digest.changes(records(s, d), ["slug"], ORDER), ["slug"])
 
@@ -286,11 +313,12 @@ def _(s, d):
     return views.freshness(rows, history.latest(rows, ["slug"], ORDER), DAY, "slug")
 
 
+_SEO = "CAST(CASE WHEN length(seo.title) BETWEEN 50 AND 62 THEN 30 WHEN length(seo.title) > 0 THEN 15 ELSE 0 END + CASE WHEN length(seo.meta_description) BETWEEN 120 AND 160 THEN 30 WHEN length(seo.meta_description) > 0 THEN 15 ELSE 0 END + CASE WHEN seo.h1_count >= 1 THEN 20 ELSE 0 END + CASE WHEN coalesce(seo.canonical, '') <> '' THEN 20 ELSE 0 END AS DOUBLE)"
 for _grain in ("week", "month", "quarter"):
     for _metric in views.METRICS:
         Q[f"v28_{_metric}_{_grain}"] = lambda s, d, g=_grain, m=_metric: views.period_metric(history.successful(records(s, d)), ["slug"], DAY, m, g)
     _label = {"week": "strftime(capture_date, '%G-W%V')", "month": "strftime(capture_date, '%Y-%m')", "quarter": "year(capture_date) || '-Q' || quarter(capture_date)"}[_grain]
-    for _metric, _v in {"access": "CAST(accessibility_score AS DOUBLE)", "promo": "CASE WHEN coalesce(headline_offer, '') <> '' THEN 100.0 ELSE 0.0 END", "discount": "CAST(coalesce(max_discount_pct, 0) AS DOUBLE)"}.items():
+    for _metric, _v in {"access": "CAST(accessibility_score AS DOUBLE)", "promo": "CASE WHEN coalesce(headline_offer, '') <> '' THEN 100.0 ELSE 0.0 END", "discount": "CAST(coalesce(max_discount_pct, 0) AS DOUBLE)", "seo": _SEO}.items():
         SQL[f"v28_{_metric}_{_grain}"] = f"WITH {CAP}, p AS (SELECT slug, {_label} AS period, avg({_v}) AS value FROM ok GROUP BY 1, 2) SELECT * FROM p WHERE period IN (SELECT DISTINCT period FROM p ORDER BY 1 DESC LIMIT 8)"
 
 
@@ -340,7 +368,10 @@ def _(s, d):
     return newest(s, d).filter("listing.prices.price_median IS NOT NULL").select("slug", F.col("listing.prices.p25").alias("p25"), F.col("listing.prices.price_median").alias("mid"), F.col("listing.prices.p75").alias("p75"), F.col("listing.discounted_share").alias("discounted_share")).orderBy("mid", "slug")
 
 
-@query("v21_market_map")
+@query("v21_market_map", f"""WITH {LATEST}, {RUNS}, z AS (SELECT slug, sum(size) AS size FROM (SELECT slug, storefront, arg_max(product_count, snap_date) FILTER (ok) AS size FROM runs GROUP BY 1, 2) GROUP BY 1),
+r AS (SELECT latest.slug, CASE WHEN greatest(listing.prices.price_median, prices.price_median) / least(listing.prices.price_median, prices.price_median) > 4 AND listing.prices.price_median IS NOT NULL AND prices.price_median IS NOT NULL THEN NULL ELSE coalesce(listing.prices.price_median, prices.price_median) END AS p, CAST(z.size AS BIGINT) AS s FROM latest LEFT JOIN z USING (slug)),
+k AS (SELECT list_sort(list(p) FILTER (p IS NOT NULL)) AS lp, list_sort(list(s) FILTER (s IS NOT NULL)) AS ls FROM r), q AS (SELECT lp[len(lp) // 2 + 1] AS mp, ls[len(ls) // 2 + 1] AS ms FROM k WHERE len(lp) >= 3 AND len(ls) >= 3)
+SELECT slug, coalesce(p, mp) AS price, coalesce(s, ms) AS size, p IS NULL OR s IS NULL AS estimated, CASE WHEN coalesce(p, mp) >= mp THEN 'premium' ELSE 'value' END || ' ' || CASE WHEN coalesce(s, ms) >= ms THEN 'broad' ELSE 'focused' END AS quadrant FROM r, q""")
 def _(s, d):
     return views.market_map(newest(s, d), brand_sizes(s, d))
 
@@ -360,22 +391,24 @@ def _(s, d):
     return views.footer(records(s, d), DAY)
 
 
-@query("a02_mentions")
+@query("a02_mentions", f"WITH {MENTIONS} SELECT item, slug, pos, rank FROM men")
 def _(s, d):
     return voices(s, d)[1]
 
 
-@query("a03_share_of_voice")
+@query("a03_share_of_voice", f"""WITH {MENTIONS}, s AS (SELECT slug, count(*) AS mentions, avg(rank) AS r, sum(1 / rank) AS points FROM men GROUP BY 1), n AS (SELECT count(*) AS n FROM aio),
+x AS (SELECT slug, coalesce(mentions, 0) AS mentions, round(coalesce(mentions, 0) / n, 3) AS visibility, round(r, 2) AS avg_rank, round(coalesce(points, 0) / sum(points) OVER (), 3) AS sov FROM brand_list LEFT JOIN s USING (slug), n) SELECT * FROM x""")
 def _(s, d):
     return voice_scores(s, d)
 
 
-@query("a05_leaders")
+@query("a05_leaders", f"""WITH {MENTIONS}, s AS (SELECT slug, count(*) AS mentions, avg(rank) AS r, sum(1 / rank) AS points FROM men GROUP BY 1), n AS (SELECT count(*) AS n FROM aio),
+x AS (SELECT slug, coalesce(mentions, 0) AS mentions, round(coalesce(mentions, 0) / n, 3) AS visibility, round(r, 2) AS avg_rank, round(coalesce(points, 0) / sum(points) OVER (), 3) AS sov FROM brand_list LEFT JOIN s USING (slug), n) SELECT * FROM x ORDER BY sov DESC, slug LIMIT 5""")
 def _(s, d):
     return mentions.leaders(voice_scores(s, d))
 
 
-@query("o11_silent_answers")
+@query("o11_silent_answers", f"WITH {MENTIONS} SELECT DISTINCT item FROM men WHERE item NOT IN (SELECT item FROM men WHERE slug IN (SELECT slug FROM brand_list WHERE is_self))")
 def _(s, d):
     answers, found = voices(s, d)
     return mentions.absent(answers, found, "answer_id", brands(s, d).filter("is_self"))
@@ -435,12 +468,15 @@ def _(s, d):
     return _docs(s, d).select("doc_id", F.to_json(page.discount_codes(F.col("text"))).alias("codes"))
 
 
-@query("x09_product_mix")
+@query("x09_product_mix", "WITH t AS (SELECT doc_id, trim(lower(regexp_replace(coalesce(text, ''), '[\\s\\x{000B}\\x{0085}\\p{Z}]+', ' ', 'g'))) AS t FROM documents), c AS ("
+    + " UNION ALL ".join(f"SELECT doc_id, '{c}' AS category, " + " + ".join(f"len(regexp_extract_all(t, '(?:^|{_B}){w}'))" for w in ws) + " AS n FROM t" for c, ws in TAXONOMY.items())
+    + ") SELECT doc_id, category, n AS count, round_even(n / sum(n) OVER (PARTITION BY doc_id), 4) AS share FROM c WHERE n > 0")
 def _(s, d):
     return _docs(s, d).select("doc_id", F.explode(page.product_mix(F.col("text"), TAXONOMY)).alias("m")).select("doc_id", "m.*")
 
 
-@query("x10_keywords")
+@query("x10_keywords", "WITH t AS (SELECT doc_id, trim(lower(regexp_replace(coalesce(text, ''), '[\\s\\x{000B}\\x{0085}\\p{Z}]+', ' ', 'g'))) AS t FROM documents), l AS (SELECT doc_id, regexp_extract_all(t, '[a-z][a-z''’]{2,}') AS l FROM t), w AS (SELECT doc_id, unnest(l) AS word, generate_subscripts(l, 1) AS pos FROM l), f AS (SELECT * FROM w WHERE word NOT IN ("
+    + ", ".join(f"'{x}'" for x in page.STOPWORDS) + ")), c AS (SELECT doc_id, word, count(*) AS n, min(pos) AS p FROM f GROUP BY 1, 2) SELECT doc_id, word, n FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, p) <= 20")
 def _(s, d):
     """The 20 commonest words of each document, the earlier first on a tie; counted per document after a partial combine."""
     words = _docs(s, d).select("doc_id", F.posexplode(page.keyword_tokens(F.col("text"))).alias("pos", "word"))
