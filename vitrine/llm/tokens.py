@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 #: Folder of vocabulary files; a parameter everywhere, nothing is copied.
 TOKENIZERS = os.environ.get("VITRINE_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.json"
+#: Texts encoded at once.
+CHUNK = 128
 
 
 def sized(df: DataFrame, text: str, vocabulary: str | None = None) -> DataFrame:
@@ -31,10 +33,11 @@ def sized(df: DataFrame, text: str, vocabulary: str | None = None) -> DataFrame:
         for pdf in batches:
             texts = [t if isinstance(t, str) else "" for t in pdf[text]]
             n, loss = [], []
-            for t, e in zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False)):
-                n.append(len(e.ids))
-                cut = t.find("\n")
-                loss.append(len(e.ids) if cut < 0 else sum(1 for a, _ in e.offsets if a > cut))
+            for i in range(0, len(texts), CHUNK):  # encodings hold much more than their texts: a few at a time
+                for t, e in zip(texts[i : i + CHUNK], tokenizer.encode_batch(texts[i : i + CHUNK], add_special_tokens=False)):
+                    n.append(len(e.ids))
+                    cut = t.find("\n")
+                    loss.append(len(e.ids) if cut < 0 else sum(1 for a, _ in e.offsets if a > cut))
             yield pdf[kept].assign(n_tokens=n, n_loss=loss)
 
     return base.mapInPandas(encode, f"{schema}, n_tokens long, n_loss long")
