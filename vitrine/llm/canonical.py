@@ -94,12 +94,12 @@ class NgramIndex:
         count = self.names.limit(MAX_NAMES + 1).count()
         self.small = count <= MAX_NAMES
         n = F.lit(float(max(count, 1) if self.small else self.names.count()))
-        posted = self.names.select("key", "name", "joined", F.explode(grams(F.col("name"))).alias("gram"))
+        posted = self.names.select(F.xxhash64("name").alias("nid"), "joined", F.explode(grams(F.col("name"))).alias("gram"))
         # weight of a gram: its inverse frequency over the list, squared as it enters both vectors
         weight = posted.groupBy("gram").agg((F.log(1 + n / F.count(F.lit(1))) ** 2).alias("w"))
         postings = posted.join(weight, "gram")
-        norms = postings.groupBy("name").agg(F.sum("w").alias("norm"))
-        self.postings = checkpointed(postings.join(norms, "name"))
+        norms = postings.groupBy("nid").agg(F.sum("w").alias("norm"))
+        self.postings = checkpointed(postings.join(norms, "nid"))
         self.typical = F.lit(float(self.postings.agg(F.avg("w")).first()[0] or 1.0))
 
     def _hold(self, df: DataFrame) -> DataFrame:
@@ -113,11 +113,12 @@ class NgramIndex:
         rest = values.join(self._hold(self.names.select("name")), values[value] == F.col("name"), "left_anti").filter(F.length(value) >= SHORTEST)
         flat = rest.select(value, "_pair", F.size(grams(F.col(value))).alias("n"), F.explode(grams(F.col(value))).alias("gram"))
         hits = flat.join(self._hold(self.postings), "gram").filter("joined OR NOT _pair")
-        shared = hits.groupBy(value, "key", "name").agg(F.sum("w").alias("dot"), F.sum("w").alias("known"), F.count(F.lit(1)).alias("common"), F.first("n").alias("n"), F.first("norm").alias("norm"))
-        near = shared.filter((F.col("common") >= LEAST_SHARED) & (F.abs(F.length(value) - F.length("name")) <= MOST_EDITS))
+        shared = hits.groupBy(value, "nid").agg(F.sum("w").alias("known"), F.count(F.lit(1)).alias("common"), F.first("n").alias("n"), F.first("norm").alias("norm"))
+        listed = self.names.select("key", "name", F.xxhash64("name").alias("nid"))
+        near = shared.filter(F.col("common") >= LEAST_SHARED).join(self._hold(listed), "nid").filter((F.abs(F.length(value) - F.length("name")) <= MOST_EDITS))
         # grams of the value that this name hasn't are unknown here: they count at the mean weight
         own = F.col("known") + (F.col("n") - F.col("common")) * self.typical
-        near = near.withColumn("score", F.col("dot") / F.sqrt(own * F.col("norm"))).filter(F.col("score") >= threshold)
+        near = near.withColumn("score", F.col("known") / F.sqrt(own * F.col("norm"))).filter(F.col("score") >= threshold)
         near = near.filter(F.levenshtein(value, "name", 2 * MOST_EDITS) >= 0).withColumn("edits", _edits(F.col(value), F.col("name")))
         allowed = F.when(F.length(value) < long_name, 1).otherwise(MOST_EDITS)
         # fewest edits first, then the higher cosine; the next entry must need more edits or trail by the lead
@@ -173,6 +174,6 @@ def find_mentions(df: DataFrame, item: str, text: str, entries: DataFrame, key:
     single = F.transform(F.filter("w", lambda x: ~x.startswith("\u0001")), lambda x: F.struct(x.alias("form"), F.lit(False).alias("_pair")))
     pairs = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.struct(bare(F.concat(F.element_at("w", i), F.element_at("w", i + 1))).alias("form"), F.lit(True).alias("_pair"))))
     windows = df.select(F.col(item).alias("item"), w.alias("w")).select("item", F.explode(F.array_distinct(F.concat(single, F.coalesce(pairs, none)))).alias("_f")).select("item", "_f.form", "_f._pair")
-    forms = windows.groupBy("form").agg(F.min("_pair").alias("_pair"))
+    forms = checkpointed(windows.groupBy("form").agg(F.min("_pair").alias("_pair")))
     found = checkpointed(index.match(forms, "form", long_name=LONG_WORD).select("form", "key"))
     return lookup_join(windows.select("item", "form"), found, ["form"]).select("item", "key").distinct()
