@@ -51,3 +51,20 @@ def test_odd_records(spark):
     got, _ = found(spark, rows_of([lambda i: ["[]", "3", deep, "{}"][i], lambda i: {"a": {"b": {"c": True}}} if i else ""]))
     assert got == {(1, "listing", 2, "added", "", "a.b.c")}
     assert found(spark, [])[0] == set()
+
+
+def test_renames_across_notations(spark):
+    counts, texts = [3260, 1359, 80214, 2982], ["3,262", "1,362", "80,219", "2,982"]
+    got, _ = found(spark, rows_of([
+        lambda i: {"review_count": counts[i], "has": i % 2 == 0, "rating": 3.62 + 0.41 * i, "new_in": 3 + 4 * i, "off": i % 2 == 0},
+        lambda i: {"reviewCount": texts[i], "has_any": "yes" if i % 2 == 0 else "no", "avg": 3.64 + 0.41 * i, "newIn": 4 + 4 * i, "on": i % 2},
+    ]))
+    assert got == {(1, "listing", 2, "renamed", a, b) for a, b in [("review_count", "reviewCount"), ("has", "has_any"), ("rating", "avg"), ("new_in", "newIn")]} | {(1, "listing", 2, "removed", "off", ""), (1, "listing", 2, "added", "", "on")}
+
+
+def test_small_values_that_only_lie_near(spark):
+    got, _ = found(spark, rows_of([
+        lambda i: {"rating": 3.7 + 0.3 * i, "pages": [0, 9, 5, 2][i], "flag": False},
+        lambda i: {"best": 5, "fresh": [1, 2, 0, 5][i], "list": [1, 359]},
+    ]))
+    assert {r[3] for r in got} == {"removed", "added"}

@@ -4,7 +4,8 @@ Records (JSON texts) become path-value rows with raw types; path-type statistics
 aggregated per file; a file's fields are held against those of the file before. A field
 that goes while another comes is a rename when the same places' values go on under the
 new path: candidate pairs come from an index on values (a number also falls into two
-coarse logarithmic bins, so slightly grown values still meet), never from all pairs.
+coarse logarithmic bins, so slightly grown values still meet; '3,260' is a number and yes
+a flag), never from all pairs.
 
 Defined results: unreadable or null texts and texts that aren't objects give no values and
 are counted; null values count as absence; repeated records of a place count once, with
@@ -100,11 +101,19 @@ def presence_changes(fields: DataFrame, files: DataFrame, feed: str, file_no: st
 
 
 def _value_keys() -> list:
-    """Under which keys a value is indexed: its text without case and blanks, and for numbers two overlapping logarithmic bins of 10 %."""
-    number = F.expr("try_cast(value AS double)")
-    size = F.when(F.abs(number) >= 20, F.log(F.abs(number)))
-    plain = F.lower(F.regexp_replace(F.regexp_replace("value", r'[\s"\[\]]+', ""), r"\.0$", ""))
-    return [F.concat(F.lit("="), plain), F.concat(F.lit("a"), F.floor(size * 10).cast("string")), F.concat(F.lit("b"), F.floor(size * 10 + 0.5).cast("string"))]
+    """Under which keys a value is indexed: its text without case and blanks (grouping marks off, yes and true as 1, no and false as 0); numbers also in two
+    overlapping logarithmic bins of 10 %, and whole ones up to 20 with their neighbours. A zero meets zeros only, as 0 and 1 are a flag's two values too."""
+    text = F.trim("value")
+    grouped = text.rlike(r"^[+-]?\d{1,3}([,'’\u00a0\u202f ]\d{3})+(\.\d+)?$")
+    text = F.when(grouped, F.regexp_replace(text, r"[,'’\u00a0\u202f ]", "")).otherwise(text)
+    number = text.try_cast("double")
+    size = F.when((F.abs(number) > 0) & (F.abs(number) < 1e300), F.log(F.abs(number)))
+    plain = F.lower(F.regexp_replace(F.regexp_replace(text, r'[\s"\[\]]+', ""), r"\.0$", ""))
+    plain = F.when(plain.isin("true", "yes"), "1").when(plain.isin("false", "no"), "0").otherwise(plain)
+    sign = F.when(number < 0, F.lit("-")).otherwise(F.lit(""))
+    whole = F.when((F.abs(number) <= 20) & (number == F.floor(number)) & (number != 0), F.abs(number).cast("int"))
+    key = lambda kind, n: F.concat(F.lit(kind), sign, n.cast("string"))
+    return [F.concat(F.lit("="), plain), key("a", F.floor(size * 10)), key("b", F.floor(size * 10 + 0.5)), key("n", F.when(whole > 1, whole)), key("n", whole + 1)]
 
 
 def renames(values: DataFrame, changes: DataFrame, feed: str, file_no: str, place: list[str], newest: str) -> DataFrame:
