@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from vitrine.operators import profile
-from vitrine.plans.general import declared
+from vitrine.plans.general import declared, p4_control
 
 ROW = "capture_id long, feed_id long, load_id long, max_discount_pct int, headline_offer string, status string"
 
@@ -34,3 +34,20 @@ def test_empty(spark):
     df = spark.createDataFrame([], ROW)
     assert profile.row_violations(df, "capture_id", declared()).count() == 0
     assert profile.states(df, ["load_id"], declared(), sketches=True).count() == 0
+
+
+def test_control_sees_means_ranges_and_distinct_counts(spark, data, tmp_path):
+    df = spark.read.parquet(f"{data}/captures.parquet")
+    last = df.filter("feed_id = 1").agg(F.max("load_id")).first()[0]
+    hit = lambda c, changed: F.when(F.col("load_id") == last, changed).otherwise(c)
+    price, rating, words = F.col("prices.price_median"), F.col("reputation.rating"), F.col("seo.word_count")
+    out = df.withColumns({
+        "prices": F.col("prices").withField("price_median", hit(price, price * 10)),
+        "reputation": F.col("reputation").withField("rating", hit(rating, rating * 10)),
+        "seo": F.col("seo").withField("word_count", hit(words, F.when(words.isNotNull(), F.lit(900)))),
+    })
+    out.write.parquet(str(tmp_path / "captures.parquet"))
+    key = lambda folder: {tuple(r)[1:4] for r in p4_control(spark, folder).collect()}
+    new = key(str(tmp_path)) - key(data)
+    assert {(last, "prices.price_median", "mean"), (last, "prices.price_median", "high"), (last, "reputation.rating", "mean"), (last, "seo.word_count", "distinct_estimate")} <= new
+    assert {r[:2] for r in new} == {(last, c) for c in ("prices.price_median", "reputation.rating", "seo.word_count")}

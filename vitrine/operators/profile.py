@@ -99,12 +99,17 @@ def shifts(metric: DataFrame, series: list[str], order: str, limits: dict[str, f
     return found.select(*series, order, "column_name", F.explode("_m").alias("_m")).select(*series, order, "column_name", "_m.*")
 
 
-def control_limits(metric: DataFrame, series: list[str], order: str, names: Sequence[str], sigmas: float = 3.0, least: int = 3, floor: float = 0.02) -> DataFrame:
-    """Metrics outside mean +- sigmas * deviation of the series' earlier loads (at least `least` of them; the deviation counts as `floor` at least)."""
+def control_limits(metric: DataFrame, series: list[str], order: str, names: Sequence[str], sigmas: float = 3.0, least: int = 3, floor: float = 0.02, levels: dict[str, Column] | None = None, level_floor: float = 0.05) -> DataFrame:
+    """Metrics outside mean +- sigmas * deviation of the series' earlier loads (at least `least` of them).
+
+    The deviation counts as `floor` at least; for metrics in levels (name -> size of its values) as `level_floor` times the earlier loads' level.
+    """
     w = Window.partitionBy(*series, "column_name").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     tests = []
     for m in names:
-        centre, spread = F.avg(m).over(w), F.greatest(F.stddev_samp(m).over(w), F.lit(floor))
-        tests.append(F.when((F.count(m).over(w) >= least) & (F.abs(F.col(m) - centre) > sigmas * spread), F.struct(F.lit(m).alias("metric"), F.col(m).alias("value"), centre.alias("centre"), spread.alias("spread"))))
+        lowest = F.lit(floor) if m not in (levels or {}) else level_floor * F.avg(levels[m]).over(w)
+        value = F.col(m).cast("double")
+        centre, spread = F.avg(value).over(w), F.greatest(F.stddev_samp(value).over(w), lowest)
+        tests.append(F.when((F.count(value).over(w) >= least) & (F.abs(value - centre) > sigmas * spread), F.struct(F.lit(m).alias("metric"), value.alias("value"), centre.alias("centre"), spread.alias("spread"))))
     found = metric.select(*series, order, "column_name", F.array_compact(F.array(*tests)).alias("_t"))
     return found.select(*series, order, "column_name", F.explode("_t").alias("_t")).select(*series, order, "column_name", "_t.*")

@@ -133,10 +133,12 @@ def p4_profile(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_control(spark: SparkSession, folder: str) -> DataFrame:
-    """Loads whose null share, violation share or mean leaves the control limits of the feed's earlier loads."""
+    """Loads whose null share, violation share, tracked share, mean, range or distinct count leaves the control limits of the feed's earlier loads, in any column."""
     captures = table(spark, folder, "captures")
-    m = profile.metrics(profile.states(captures, ["feed_id", "load_id"], every_column(captures)))
-    return profile.control_limits(m.withColumn("violation_share", F.col("violations") / F.col("rows")), ["feed_id"], "load_id", ["null_share", "violation_share", "tracked_share"])
+    m = profile.metrics(profile.states(captures, ["feed_id", "load_id"], every_column(captures), sketches=True))
+    ends = F.greatest(F.abs("low"), F.abs("high"))
+    levels = {"mean": F.abs("mean"), "low": ends, "high": ends, "distinct_estimate": F.col("distinct_estimate")}
+    return profile.control_limits(m.withColumn("violation_share", F.col("violations") / F.col("rows")), ["feed_id"], "load_id", ["null_share", "violation_share", "tracked_share", *levels], levels=levels)
 
 
 P4_SQL = r"""
