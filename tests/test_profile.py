@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from vitrine.operators import profile
-from vitrine.plans.general import declared, p4_control
+from vitrine.plans.general import declared, every_column, p4_control
 
 ROW = "capture_id long, feed_id long, load_id long, max_discount_pct int, headline_offer string, status string"
 
@@ -51,3 +51,18 @@ def test_control_sees_means_ranges_and_distinct_counts(spark, data, tmp_path):
     new = key(str(tmp_path)) - key(data)
     assert {(last, "prices.price_median", "mean"), (last, "prices.price_median", "high"), (last, "reputation.rating", "mean"), (last, "seo.word_count", "distinct_estimate")} <= new
     assert {r[:2] for r in new} == {(last, c) for c in ("prices.price_median", "reputation.rating", "seo.word_count")}
+
+
+def test_ranges_of_dates_flags_and_texts(spark):
+    rows = [(7, 1, 3, "2025-03-01", "2025-03-01 10:00:00", True, "ab"), (9, 1, 3, "1970-01-02", "2025-03-02 00:00:30", False, "abcde"), (8, 1, 3, None, None, None, None)]
+    df = spark.createDataFrame(rows, "capture_id long, feed_id long, load_id long, d string, t string, flag boolean, url string")
+    df = df.withColumns({"d": F.col("d").cast("date"), "t": F.col("t").cast("timestamp"), "local": F.col("t").cast("timestamp_ntz"), "max_discount_pct": F.lit(5), "headline_offer": F.lit("x"), "status": F.lit("success")})
+    for by in (["load_id"], ["load_id", "day"]):
+        s = profile.states(df.withColumn("day", F.col("capture_id") % 2), by, every_column(df), sketches=True)
+        got = {r["column_name"]: r for r in profile.metrics(profile.merge_states(s, ["load_id"])).collect()}
+        assert {"capture_id", "feed_id", "load_id"} <= set(got)
+        assert (got["d"]["low"], got["d"]["high"], got["d"]["length_low"]) == (86400.0, 1740787200.0, None)
+        assert (got["t"]["low"], got["t"]["high"]) == (got["local"]["low"], got["local"]["high"]) == (1740823200.0, 1740873630.0)
+        assert (got["flag"]["low"], got["flag"]["high"], got["flag"]["mean"]) == (0.0, 1.0, 0.5)
+        assert (got["url"]["low"], got["url"]["length_low"], got["url"]["length_high"], got["url"]["length_mean"]) == (None, 2.0, 5.0, 3.5)
+        assert (got["capture_id"]["low"], got["capture_id"]["high"], got["capture_id"]["distinct_estimate"]) == (7.0, 9.0, 3)

@@ -6,7 +6,9 @@ without reading the rows again. Metrics come from states; a metric's move from t
 before is held against control limits.
 
 Defined results: null is its own case (a constraint says whether null is allowed); a
-group without values has null ranges and a null mean; an empty table gives no states;
+group without values has null ranges and a null mean; ranges and means of dates and
+timestamps are in seconds since 1970, of booleans in 0 and 1; text has a range and mean of
+its length, under names of their own, and no other; an empty table gives no states;
 repeated rows count as often as they occur; columns that aren't profiled are ignored.
 """
 
@@ -24,7 +26,7 @@ SKETCH_LGK = 11
 
 @dataclass(frozen=True)
 class ColumnSpec:
-    """A column to profile. valid: condition over its value, or None for no constraint; null is valid where nullable.
+    """A column to profile. numeric: a number, date, timestamp or boolean, else its text's length is measured. valid: condition over its value, or None for no constraint; null is valid where nullable.
     shares: name -> condition, whose share is tracked. mean_of: condition for values that enter the mean."""
 
     name: str
@@ -54,6 +56,7 @@ def states(df: DataFrame, by: list[str], specs: Sequence[ColumnSpec], sketches:
         parts["rows"] = F.count(F.lit(1))
         parts["nulls"] = F.count_if(v.isNull())
         parts["violations"] = F.count_if(s.violated())
+        parts["by_length"] = F.lit(not s.numeric)
         number = v.cast("double") if s.numeric else F.length(v.cast("string")).cast("double")
         parts["low"], parts["high"] = F.min(number), F.max(number)
         kept = F.when(s.mean_of, number) if s.mean_of is not None else number
@@ -72,19 +75,20 @@ def merge_states(parts: DataFrame, by: list[str]) -> DataFrame:
     add |= {"low": F.min("low"), "high": F.max("high")}
     if "sketch" in parts.columns:
         add["sketch"] = F.hll_union_agg("sketch")
-    return parts.groupBy(*by, "column_name").agg(*[c.alias(k) for k, c in add.items()])
+    return parts.groupBy(*by, "column_name", "by_length").agg(*[c.alias(k) for k, c in add.items()])
 
 
 def metrics(state: DataFrame) -> DataFrame:
-    """Null share, violation share, tracked share, mean, range and distinct estimate of each state."""
+    """Null share, violation share, tracked share, mean and range (of the values or of their texts' lengths) and distinct estimate of each state."""
     extra = [F.hll_sketch_estimate("sketch").alias("distinct_estimate")] if "sketch" in state.columns else []
-    keys = [c for c in state.columns if c not in ("rows", "nulls", "violations", "low", "high", "total", "counted", "share_rows", "sketch")]
+    keys = [c for c in state.columns if c not in ("rows", "nulls", "violations", "low", "high", "total", "counted", "share_rows", "sketch", "by_length")]
+    measured = {"mean": F.expr("try_divide(total, counted)"), "low": F.col("low"), "high": F.col("high")}
     return state.select(
         *keys, "rows", "nulls", "violations",
         (F.col("nulls") / F.col("rows")).alias("null_share"),
         (F.col("share_rows") / F.col("rows")).alias("tracked_share"),
-        F.expr("try_divide(total, counted)").alias("mean"),
-        "low", "high", *extra,
+        *[F.when(~F.col("by_length"), c).alias(k) for k, c in measured.items()],
+        *[F.when(F.col("by_length"), c).alias(f"length_{k}") for k, c in measured.items()], *extra,
     )
 
 

@@ -107,20 +107,26 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return rows.unionByName(loads)
 
 
+#: Types whose values have a range and a mean of their own; for others the length of the text has.
+MEASURED = ("integer", "long", "double", "float", "short", "byte", "decimal", "boolean", "date", "timestamp", "timestamp_ntz")
+
+
 def every_column(df: DataFrame) -> list[profile.ColumnSpec]:
     """The declared columns, and all others (members of structs too, lists by their text) without a constraint."""
     specs = declared()
-    known, skip = {s.name for s in specs}, {"capture_id", "load_id", "feed_id"}
+    known = {s.name for s in specs}
 
     def leaves(schema, path):
         for f in schema.fields:
             at = [*path, f.name]
             if f.dataType.typeName() == "struct":
                 yield from leaves(f.dataType, at)
-            elif (name := ".".join(at)) not in known | skip:
+            elif (name := ".".join(at)) not in known:
                 kind = f.dataType.typeName()
                 c = F.col(".".join(f"`{x}`" for x in at))
-                yield profile.ColumnSpec(name, F.to_json(c) if kind in ("array", "map") else c, numeric=kind in ("integer", "long", "double", "float", "short", "byte"))
+                if kind in ("date", "timestamp_ntz"):
+                    c = c.cast("timestamp")
+                yield profile.ColumnSpec(name, F.to_json(c) if kind in ("array", "map") else c, numeric=kind in MEASURED)
 
     return specs + list(leaves(df.schema, []))
 
@@ -138,6 +144,7 @@ def p4_control(spark: SparkSession, folder: str) -> DataFrame:
     m = profile.metrics(profile.states(captures, ["feed_id", "load_id"], every_column(captures), sketches=True))
     ends = F.greatest(F.abs("low"), F.abs("high"))
     levels = {"mean": F.abs("mean"), "low": ends, "high": ends, "distinct_estimate": F.col("distinct_estimate")}
+    levels |= {"length_mean": F.col("length_mean"), "length_low": F.col("length_high"), "length_high": F.col("length_high")}
     return profile.control_limits(m.withColumn("violation_share", F.col("violations") / F.col("rows")), ["feed_id"], "load_id", ["null_share", "violation_share", "tracked_share", *levels], levels=levels)
 
 
