@@ -68,3 +68,10 @@ def test_small_values_that_only_lie_near(spark):
         lambda i: {"best": 5, "fresh": [1, 2, 0, 5][i], "list": [1, 359]},
     ]))
     assert {r[3] for r in got} == {"removed", "added"}
+
+
+def test_chain_of_overlapping_renames(spark):
+    """Equal values, so names decide: the third pair is the best of both its fields only when two others are settled one after the other."""
+    old, new = ["bbacbbaa", "caaccbcc", "abcaabcc"], ["caacbbaa", "caabaacb", "cacabaaa"]
+    got, _ = found(spark, rows_of([lambda i: dict.fromkeys(old, 100 + i), lambda i: dict.fromkeys(new, 100 + i)]))
+    assert got == {(1, "listing", 2, "renamed", a, b) for a, b in zip(old, new, strict=True)}

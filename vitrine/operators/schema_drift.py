@@ -19,7 +19,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.session import checkpointed
@@ -138,15 +138,18 @@ def renames(values: DataFrame, changes: DataFrame, feed: str, file_no: str, plac
     bare = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
     near = 1 - F.levenshtein(bare("old_field"), bare("new_field")) / F.greatest(F.length("old_field"), F.length("new_field"))
     scored = matched.join(both, [*at, "old_field", "new_field"]).filter(F.col("_match") >= MATCH_SHARE * F.col("_common"))
-    scored = checkpointed(scored.withColumn("_score", F.struct((F.col("_match") + F.col("_same")) / (2 * F.col("_common")) + 0.3 * near, "_match", "old_field", "new_field")))
-    # one-to-one: pairs that are the best of both their fields, twice, so that a field freed by the first choice can pair too
-    def mutual(pairs: DataFrame) -> DataFrame:
-        best = lambda side: F.row_number().over(Window.partitionBy(*at, side).orderBy(F.col("_score").desc()))
-        return pairs.withColumn("_o", best("old_field")).withColumn("_n", best("new_field")).filter("_o = 1 AND _n = 1").select(*at, "old_field", "new_field")
-
-    first = mutual(scored)
-    rest = scored.join(first.select(*at, "old_field"), [*at, "old_field"], "left_anti").join(first.select(*at, "new_field"), [*at, "new_field"], "left_anti")
-    return first.unionByName(mutual(rest))
+    scored = scored.withColumn("_points", (F.col("_match") + F.col("_same")) / (2 * F.col("_common")) + 0.3 * near)
+    # one-to-one: the best pair left of a block and file is taken until none is left; a group is as small as the fields that went and came
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in scored.select(*at, "old_field", "new_field").schema.fields)
+
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+        old, new, taken = set(), set(), []
+        for i in pdf.sort_values(["_points", "_match", "old_field", "new_field"], ascending=False).index:
+            if pdf.at[i, "old_field"] not in old and pdf.at[i, "new_field"] not in new:
+                old.add(pdf.at[i, "old_field"]), new.add(pdf.at[i, "new_field"]), taken.append(i)
+        return pdf.loc[taken, [*at, "old_field", "new_field"]]
+
+    return scored.select(*at, "old_field", "new_field", "_points", "_match").groupBy(*at).applyInPandas(settle, shape)
 
 
 def drift(values: DataFrame, files: DataFrame, feed: str, file_no: str, place: list[str], newest: str) -> DataFrame:
