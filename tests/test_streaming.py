@@ -1,8 +1,10 @@
+import datetime
 import shutil
 
 import pytest
 from pyspark.sql import functions as F
 
+from vitrine.sources.files import upsert_store
 from vitrine.streaming import streams
 
 
@@ -44,3 +46,11 @@ def test_upsert_sink(spark, data, folder, tmp_path):
     streams.upsert_sink(s, str(tmp_path / "out"), str(tmp_path / "cp"), ["user_id", "day"], "day", ["event_id"]).awaitTermination()
     want = spark.read.parquet(f"{data}/events.parquet").select("user_id", F.to_date("ts").alias("day")).distinct().count()
     assert spark.read.parquet(str(tmp_path / "out")).count() == want
+
+
+def test_upsert_keeps_stored_rows_without_a_date(spark, tmp_path):
+    rows = lambda *x: spark.createDataFrame(x, "k long, day date, n long").withColumn("day", F.to_date("day"))
+    a, b, none = datetime.date(2025, 3, 1), datetime.date(2025, 3, 2), None
+    for batch in (rows((1, none, 1), (2, none, 1), (3, a, 1), (4, a, 1), (5, b, 1)), rows((1, none, 2), (3, a, 2)), rows((6, none, 3))):
+        upsert_store(spark, str(tmp_path / "out"), batch, ["k", "day"], "day", ["n"])
+    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("k", "day", "n").collect()} == {(1, none, 2), (2, none, 1), (3, a, 2), (4, a, 1), (5, b, 1), (6, none, 3)}

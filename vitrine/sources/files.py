@@ -34,12 +34,17 @@ def write_by_date(df: DataFrame, path: str, date: str) -> None:
 
 def upsert_store(spark: SparkSession, path: str, new: DataFrame, key: Sequence[str], date: str, order: Sequence[str]) -> None:
     """Merges a batch into a store: only the partitions of the batch's dates are read and rewritten."""
-    dates = [r[0] for r in new.select(date).distinct().limit(10_000).collect()]  # partition values of one batch
+    dates = new.select(F.col(date).alias("_date")).distinct()
+    first, last = dates.agg(F.min("_date"), F.max("_date")).first()  # keeps the read to the batch's span
     try:
-        old = spark.read.parquet(path).filter(F.col(date).isin(dates))
-        merged = upsert(old.select(*new.columns), new, key, order).persist()
+        old = spark.read.parquet(path)
     except AnalysisException:
-        merged = upsert(new, None, key, order).persist()
+        old = None
+    if old is not None:
+        at = F.col(date)
+        old = old.select(*new.columns).withColumn(date, at.cast(new.schema[date].dataType)).filter(at.between(F.lit(first), F.lit(last)) | at.isNull())
+        old = old.join(dates, at.eqNullSafe(F.col("_date")), "left_semi")
+    merged = (upsert(new, None, key, order) if old is None else upsert(old, new, key, order)).persist()
     merged.count()  # read before the same partitions are overwritten
     write_by_date(merged, path, date)
     merged.unpersist()
