@@ -30,3 +30,11 @@ def test_recurrence_long_and_empty(spark):
     top = {r["masked"]: (r["n_rows"], r["n_sources"]) for r in residue.recurrence(rows).collect()}
     assert top["# not found"] == (2, 2)
     assert residue.flagged_items(rows.limit(0)).count() == 0
+
+
+def test_forms_are_grouped_across_sources(spark):
+    texts = ["We are moving house 1", "We are moving house 22", "we are moving  house 3", "404 Not Found", "only here 5", "only here 6"]
+    df = spark.createDataFrame([(i, f"s{i % 4}", t) for i, t in enumerate(texts)], "id long, slug string, t string")
+    rows = residue.messages(df, "id", "slug", {"t": F.col("t")})
+    assert {(r["masked"], r["n_rows"]) for r in residue.classified(residue.masked_texts(rows)).collect()} == {("we are moving house #", 3), ("# not found", 1), ("only here #", 2)}
+    assert {tuple(r) for r in residue.recurrence(rows).collect()} == {("we are moving house #", None, 3, 3), ("# not found", "filler_or_error", 1, 1)}

@@ -65,6 +65,9 @@ PHRASES = {
 #: Whole segments (between separators) that are no content, though their words occur in copy.
 SEGMENTS = r"(?:undefined|null|nan|image with text|untitled(?: page)?|test(?: test)+(?: #)?|test #|asdf(?: ?asdf)*|qwerty|x{3,}(?: x+)*|placeholder|access denied|page not found|not found|forbidden|server error|headline|your text|coming soon text|object object)"
 
+#: Sources that must show a message no rule knows before it is listed as recurring.
+RECURS = 3
+
 
 def masked(c: Column) -> Column:
     """Lower case, blanks folded, dates, addresses and numbers as '#'; straight quotes."""
@@ -96,27 +99,42 @@ def messages(df: DataFrame, item: str, source: str, fields: dict[str, Column]) -
     return rows.withColumn("message_hash", F.xxhash64("message"))
 
 
-def flagged_messages(rows: DataFrame) -> DataFrame:
-    """(message_hash, message, masked, verdict): the distinct messages that are no content, kept.
+def masked_texts(rows: DataFrame, sources: bool = False) -> DataFrame:
+    """(message_hash, message, form_hash, masked, n_rows[, sketch]): the distinct texts with their masked forms.
 
-    Distinct texts are found by hash aggregation before anything is masked, so the patterns
-    see each text once, not each row; equal masked forms share their verdict. The generator
-    keeps the optimiser from working a masked form out again for every use.
+    Distinct texts are found by hash aggregation before anything is masked, so the masks see
+    each text once, not each row. The generator keeps the optimiser from working a masked
+    form out again for every use. sketch: the text's sources.
     """
-    texts = rows.groupBy("message_hash", "message").agg(F.lit(1).alias("one"))
-    forms = F.transform(F.transform(F.array("message"), masked), lambda m: F.struct(m.alias("masked"), classify(m).alias("verdict")))
-    judged = texts.select("message_hash", "message", F.explode(F.filter(forms, lambda f: f["verdict"].isNotNull())).alias("f"))
-    return checkpointed(judged.select("message_hash", "message", "f.masked", "f.verdict"))
+    extra = [F.hll_sketch_agg("source").alias("sketch")] if sources else []
+    texts = rows.groupBy("message_hash", "message").agg(F.count(F.lit(1)).alias("n_rows"), *extra)
+    return texts.select("*", F.explode(F.array(masked(F.col("message")))).alias("masked")).withColumn("form_hash", F.xxhash64("masked"))
+
+
+def classified(forms: DataFrame) -> DataFrame:
+    """(form_hash, masked, n_rows[, n_sources], verdict): masked forms grouped by their hash across sources, each classified once."""
+    extra = [F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n_sources")] if "sketch" in forms.columns else []
+    groups = forms.groupBy("form_hash", "masked").agg(F.sum("n_rows").alias("n_rows"), *extra)
+    return groups.select("*", F.explode(F.transform(F.array("masked"), classify)).alias("verdict"))
+
+
+def flagged_messages(rows: DataFrame) -> DataFrame:
+    """(message_hash, message): the distinct messages that are no content, kept."""
+    forms = checkpointed(masked_texts(rows))
+    bad = checkpointed(classified(forms).filter("verdict IS NOT NULL").select("form_hash", "masked"))
+    return checkpointed(lookup_join(forms, bad, ["form_hash", "masked"]).select("message_hash", "message"))
 
 
 def flagged_items(rows: DataFrame) -> DataFrame:
     """(item): records with at least one message that is no content."""
-    bad = flagged_messages(rows).select("message_hash", "message")
+    bad = flagged_messages(rows)
     return lookup_join(rows.select("item", "message_hash", "message"), bad, ["message_hash", "message"]).select("item").distinct()
 
 
 def recurrence(rows: DataFrame) -> DataFrame:
-    """(masked, verdict, n_rows, n_sources): how widely each masked form that is no content recurs; sources are an HLL estimate, so a form that every source shows stays one bounded state."""
-    bad = flagged_messages(rows).select("message_hash", "message", "masked", "verdict")
-    hits = lookup_join(rows, bad, ["message_hash", "message"])
-    return hits.groupBy("masked", "verdict").agg(F.count(F.lit(1)).alias("n_rows"), F.approx_count_distinct("source").alias("n_sources"))
+    """(masked, verdict, n_rows, n_sources): how widely each masked form recurs: those that are no content, and with a null verdict those that no rule knows but RECURS sources or more show.
+
+    Sources are an HLL estimate, so a form that every source shows stays one bounded state.
+    """
+    groups = classified(masked_texts(rows, sources=True)).filter(F.col("masked") != "")
+    return groups.filter((F.col("n_sources") >= RECURS) | F.col("verdict").isNotNull()).select("masked", "verdict", "n_rows", "n_sources")
