@@ -4,6 +4,7 @@ import shutil
 import pytest
 from pyspark.sql import functions as F
 
+from vitrine.sources import files
 from vitrine.sources.files import upsert_store
 from vitrine.streaming import streams
 
@@ -54,3 +55,45 @@ def test_upsert_keeps_stored_rows_without_a_date(spark, tmp_path):
     for batch in (rows((1, none, 1), (2, none, 1), (3, a, 1), (4, a, 1), (5, b, 1)), rows((1, none, 2), (3, a, 2)), rows((6, none, 3))):
         upsert_store(spark, str(tmp_path / "out"), batch, ["k", "day"], "day", ["n"])
     assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("k", "day", "n").collect()} == {(1, none, 2), (2, none, 1), (3, a, 2), (4, a, 1), (5, b, 1), (6, none, 3)}
+
+
+KEEP = (["k"], "day", ["n"])
+
+
+def test_upsert_keeps_columns_that_only_one_side_has(spark, tmp_path):
+    store, a = str(tmp_path / "out"), datetime.date(2025, 3, 1)
+    upsert_store(spark, store, spark.createDataFrame([(1, a, 1), (2, a, 1)], "k long, day date, n long"), *KEEP)
+    upsert_store(spark, store, spark.createDataFrame([(3, a, 1, "x")], "k long, day date, n long, extra string"), *KEEP)
+    upsert_store(spark, store, spark.createDataFrame([(1, a, 2)], "k long, day date, n long"), *KEEP)
+    got = files.read_store(spark, store, "day")
+    assert {tuple(r) for r in got.select("k", "n", "extra").collect()} == {(1, 2, None), (2, 1, None), (3, 1, "x")}
+
+
+def test_upsert_of_many_dates_keeps_them_all(spark, tmp_path):
+    store = str(tmp_path / "out")
+    many = lambda n, v: spark.range(n).select(F.col("id").alias("k"), (F.col("id") % 1201).cast("int").alias("day"), F.lit(v).alias("n"))
+    upsert_store(spark, store, many(2402, 1), *KEEP)
+    upsert_store(spark, store, many(1201, 2), *KEEP)
+    assert [tuple(r) for r in files.read_store(spark, store, "day").groupBy("n").count().orderBy("n").collect()] == [(1, 1201), (2, 1201)]
+
+
+def test_interrupted_merges(spark, tmp_path):
+    store, a = str(tmp_path / "out"), datetime.date(2025, 3, 1)
+    rows = lambda *x: spark.createDataFrame(x, "k long, day date, n long")
+    read = lambda: {tuple(r) for r in files.read_store(spark, store, "day").select("k", "n").collect()}
+    upsert_store(spark, store, rows((1, a, 1)), *KEEP)
+    files.stage_upsert(spark, store, rows((2, a, 1)), *KEEP)  # lost before the swap: the next reader completes it
+    assert read() == {(1, 1), (2, 1)}
+    files.stage_upsert(spark, store, rows((3, a, 1)), *KEEP)
+    files._delete(spark, store + ".pending/_SUCCESS")  # lost while it was written: thrown away
+    assert read() == {(1, 1), (2, 1)}
+    upsert_store(spark, store, rows((3, a, 1)), *KEEP)
+    assert read() == {(1, 1), (2, 1), (3, 1)}
+
+
+def test_bounded_log(spark, tmp_path):
+    log = str(tmp_path / "log")
+    for day in range(6):
+        files.append_log(spark, log, spark.createDataFrame([(day, "first"), (day, "second")], "day int, run string").limit(1), ["day"], 4)
+    files.append_log(spark, log, spark.createDataFrame([(5, "again")], "day int, run string"), ["day"], 4, ["day"])
+    assert sorted(tuple(r) for r in spark.read.parquet(log).collect()) == [(2, "first"), (3, "first"), (4, "first"), (5, "again")]

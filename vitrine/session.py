@@ -9,8 +9,8 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Largest side that may be broadcast, in rows, after it has been counted.
-BROADCAST_ROWS = 200_000
+#: Largest side that may be broadcast, in rows and in bytes, after it has been measured.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32_000_000
 #: Parts into which a hot key is split when a side is too large to broadcast.
 SALTS = 16
 
@@ -26,6 +26,8 @@ def build_session(master: str | None = None, partitions: int = 8, **conf: str) -
         "spark.sql.shuffle.partitions": str(partitions),
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        # checkpoint files go when their DataFrames do
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     for k, v in {**base, **conf}.items():
         b = b.config(k, v)
@@ -33,10 +35,12 @@ def build_session(master: str | None = None, partitions: int = 8, **conf: str) -
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the shared folder named by spark.checkpoint.dir; a temporary one only where none is set."""
+    """Uses the shared folder named by spark.checkpoint.dir. Where none is set, a local session gets a folder of its own; a cluster session is refused, as its executors share no temporary folder."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "vitrine-checkpoints"))
 
 
@@ -46,15 +50,34 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _row_bytes(df: DataFrame) -> Column:
+    """A row's size, near enough: texts and binaries by their length, nested values by their JSON, the rest 8 bytes each."""
+    size = F.lit(16)
+    for f in df.schema.fields:
+        kind, c = f.dataType.typeName(), F.col(f"`{f.name}`")
+        if kind in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(c), F.lit(0))
+        elif kind in ("array", "map", "struct"):
+            size = size + F.coalesce(F.octet_length(F.to_json(c)), F.lit(0))
+        else:
+            size = size + F.lit(8)
+    return size
+
+
+def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether a side is within both bounds; a count that stops at the first bound."""
+    rows, size = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(_row_bytes(df)), F.lit(0))).first()
+    return rows <= max_rows and size <= max_bytes
+
+
 def lookup_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Joins a large side to a lookup whose keys are unique, whatever the skew of the large side.
 
-    The lookup is counted first: up to max_rows it is broadcast, beyond that it is
+    The lookup is measured first: up to max_rows and BROADCAST_BYTES it is broadcast, beyond that it is
     replicated SALTS times and the large side's rows of a key are spread over the copies.
     Give a lookup that is cheap to read twice (a checkpoint or a table).
     """
-    # a count that stops at the bound: a few rows over it decide
-    if right.select(F.lit(1).alias("one")).limit(max_rows + 1).count() <= max_rows:
+    if fits_broadcast(right, max_rows):
         return left.join(F.broadcast(right), on, how)
     salt = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns if c not in on] or [F.lit(0)]), F.lit(SALTS)).cast("int")
     copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

@@ -4,23 +4,38 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vitrine.operators.history import upsert
+from vitrine.operators.history import keep_last, upsert
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def _has_rows(spark: SparkSession, path: str) -> bool:
+    """Whether a folder holds anything that a reader would see."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.exists(where) and any(not f.getPath().getName().startswith(("_", ".")) for f in fs.listStatus(where))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType | str, lines: bool = False) -> DataFrame:
-    """A JSON file, array or lines. A missing path gives no rows; unreadable records are left out."""
+    """A JSON file, array or lines. A missing path gives no rows; unreadable records are left out. Other faults of the path are raised."""
     kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    read = spark.read.schema(kind.add("_bad", T.StringType()) if "_bad" not in kind.names else kind).option("multiLine", not lines).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad")
-    try:
-        rows = read.json(path)
-    except AnalysisException:
-        return spark.createDataFrame([], kind).drop("_bad")
-    return rows.filter("_bad IS NULL").drop("_bad")
+    kept = [f for f in kind.fields if f.name != "_bad"]
+    if not _exists(spark, path):
+        return spark.createDataFrame([], T.StructType(kept))
+    read = spark.read.schema(T.StructType([*kept, T.StructField("_bad", T.StringType())])).option("multiLine", not lines).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad")
+    return read.json(path).filter("_bad IS NULL").drop("_bad")
 
 
 def write_json(df: DataFrame, path: str) -> None:
@@ -32,22 +47,75 @@ def write_by_date(df: DataFrame, path: str, date: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(date).parquet(path)
 
 
-def upsert_store(spark: SparkSession, path: str, new: DataFrame, key: Sequence[str], date: str, order: Sequence[str]) -> None:
-    """Merges a batch into a store: only the partitions of the batch's dates are read and rewritten."""
+def _pending(path: str) -> str:
+    return path.rstrip("/") + ".pending"
+
+
+def finish_pending(spark: SparkSession, path: str, date: str) -> None:
+    """Completes a merge that was interrupted: whole pending partitions replace the store's, half-written ones are thrown away."""
+    staged = _pending(path)
+    if _exists(spark, f"{staged}/_SUCCESS"):
+        write_by_date(spark.read.parquet(f"{staged}/rows"), path, date)
+        _delete(spark, f"{staged}/_SUCCESS")
+    if _exists(spark, staged):
+        _delete(spark, staged)
+
+
+def read_store(spark: SparkSession, path: str, date: str) -> DataFrame | None:
+    """A keyed store with the columns of all its batches; None where there is none yet."""
+    finish_pending(spark, path, date)
+    return spark.read.option("mergeSchema", "true").parquet(path) if _has_rows(spark, path) else None
+
+
+def stage_upsert(spark: SparkSession, path: str, new: DataFrame, key: Sequence[str], date: str, order: Sequence[str]) -> None:
+    """Writes the merged partitions of a batch's dates beside the store; nothing of the store is touched."""
+    old = read_store(spark, path, date)
     dates = new.select(F.col(date).alias("_date")).distinct()
-    first, last = dates.agg(F.min("_date"), F.max("_date")).first()  # keeps the read to the batch's span
-    try:
-        old = spark.read.parquet(path)
-    except AnalysisException:
-        old = None
     if old is not None:
+        first, last = dates.agg(F.min("_date"), F.max("_date")).first()  # keeps the read to the batch's span
         at = F.col(date)
-        old = old.select(*new.columns).withColumn(date, at.cast(new.schema[date].dataType)).filter(at.between(F.lit(first), F.lit(last)) | at.isNull())
+        old = old.withColumn(date, at.cast(new.schema[date].dataType)).filter(at.between(F.lit(first), F.lit(last)) | at.isNull())
         old = old.join(dates, at.eqNullSafe(F.col("_date")), "left_semi")
-    merged = (upsert(new, None, key, order) if old is None else upsert(old, new, key, order)).persist()
-    merged.count()  # read before the same partitions are overwritten
-    write_by_date(merged, path, date)
-    merged.unpersist()
+    staged = _pending(path)
+    # the date is kept as a column: a partition folder's name would come back as another type
+    (upsert(new, None, key, order) if old is None else upsert(old, new, key, order)).write.mode("overwrite").parquet(f"{staged}/rows")
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{staged}/_SUCCESS")
+    mark.getFileSystem(spark._jsc.hadoopConfiguration()).create(mark).close()
+
+
+def upsert_store(spark: SparkSession, path: str, new: DataFrame, key: Sequence[str], date: str, order: Sequence[str]) -> None:
+    """Merges a batch into a store: only the partitions of the batch's dates are read and rewritten.
+
+    The merge is written in full beside the store before any stored file is replaced, so a run that is
+    lost at any point either leaves the store as it was or is completed by the next run (or by
+    read_store). Columns that only the store or only the batch has are kept, null where they lack.
+    """
+    stage_upsert(spark, path, new, key, date, order)
+    finish_pending(spark, path, date)
+
+
+def append_log(spark: SparkSession, path: str, new: DataFrame, order: Sequence[str], n: int, replaces: Sequence[str] = ()) -> None:
+    """A bounded log: the batch is added, rows of the batch's own `replaces` values go first, and the last n whole records by `order` stay.
+
+    Written beside the old log and swapped in by renaming; the bound is the log's feature, so it is a small table.
+    """
+    at = path.rstrip("/")
+    if _exists(spark, f"{at}.next/_SUCCESS") and not _exists(spark, at):
+        _rename(spark, f"{at}.next", at)
+    old = spark.read.parquet(at) if _exists(spark, f"{at}/_SUCCESS") else None
+    if old is not None and replaces:
+        same = [F.col(f"o.{c}").eqNullSafe(F.col(f"n.{c}")) for c in replaces]
+        old = old.alias("o").join(new.select(*replaces).distinct().alias("n"), same, "left_anti")
+    rows = new if old is None else old.unionByName(new, allowMissingColumns=True)
+    keep_last(rows, order, n).coalesce(1).write.mode("overwrite").parquet(f"{at}.next")
+    if _exists(spark, at):
+        _delete(spark, at)
+    _rename(spark, f"{at}.next", at)
+
+
+def _rename(spark: SparkSession, old: str, new: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(old)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).rename(where, spark._jvm.org.apache.hadoop.fs.Path(new))
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
