@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrine.llm import canonical, encoding, mixing, packing, residue, term_frequency, tokens
+from vitrine.session import checkpointed
 from vitrine.sources.tables import table
 
 RARE_RECORDS, COMMON_SHARE = 2, 0.25
@@ -64,14 +65,22 @@ def p1_unmatched(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "competitors").join(found, "competitor_id").groupBy("name").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+def _p7(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The documents with their sizes, encoded once, and the limits with segments and loss for them."""
+    docs = checkpointed(tokens.sized(table(spark, folder, "documents").select("doc_id", "text"), "text", loss=True))
+    return docs, checkpointed(packing.limits_for(docs, table(spark, folder, "pack_limits")))
+
+
 def p7_pack(spark: SparkSession, folder: str) -> DataFrame:
     """Every document, or part of an oversized one, with its container for each capacity."""
-    docs = tokens.sized(table(spark, folder, "documents").select("doc_id", "text"), "text")
-    return packing.pack(docs, "doc_id", table(spark, folder, "pack_limits")).withColumnRenamed("item", "doc_id")
+    docs, limits = _p7(spark, folder)
+    return packing.pack(docs, "doc_id", limits).withColumnRenamed("item", "doc_id")
 
 
 def p7_report(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.report(p7_pack(spark, folder), table(spark, folder, "pack_limits"))
+    """How full the containers are, for each of the three limits."""
+    docs, limits = _p7(spark, folder)
+    return packing.report(packing.pack(docs, "doc_id", limits), limits)
 
 
 def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
