@@ -136,3 +136,19 @@ def test_mix_budget_and_empty(spark):
     total = mixing.mix(df, "doc", "src", targets, budget=1000).agg(F.sum("n_tokens")).first()[0]
     assert 970 <= total <= 1000
     assert mixing.mix(df.limit(0), "doc", "src", targets).count() == 0
+
+
+def test_a_source_that_runs_out_leaves_its_share(spark):
+    """Against a fair queue that takes one document at a time."""
+    rows = [(i, "abc"[i % 3], 10) for i in range(300)] + [(1000 + i, "a", 10) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc long, src string, n_tokens long")
+    targets = spark.createDataFrame([("m", "a", 0.25, 1), ("m", "b", 0.5, 2), ("m", "c", 0.25, 1)], T_SCHEMA)
+    supply, weight, given = {"a": 10_000, "b": 2_000, "c": 1_000}, {"a": 0.25, "b": 0.5, "c": 0.25}, {"a": 0, "b": 0, "c": 0}
+    while sum(given.values()) < 6000:
+        given[min((s for s in given if given[s] < supply[s]), key=lambda s: ((given[s] + 10) / weight[s], s))] += 10
+    planned = mixing.plan_of(df, "doc", "src", targets, 6000)
+    got = {r["source"]: r for r in mixing.report(mixing.mix(df, "doc", "src", targets, planned=planned), targets, planned).collect()}
+    assert {s: r["n_tokens"] for s, r in got.items()} == given and {s for s, r in got.items() if r["exhausted"]} == {"b", "c"}
+    assert got["b"]["most_uses"] == 2 and got["b"]["missed_share"] > 0.1 and got["a"]["missed_share"] == 0
+    everything = mixing.mix(df, "doc", "src", targets, budget=10**9).agg(F.sum("n_tokens")).first()[0]
+    assert everything == sum(supply.values())

@@ -10,6 +10,8 @@ from vitrine.session import checkpointed
 from vitrine.sources.tables import table
 
 RARE_RECORDS, COMMON_SHARE = 2, 0.25
+#: Total of p8_given_budget, in tokens of all documents.
+GIVEN_BUDGET = 1
 
 
 def _p5_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -83,14 +85,30 @@ def p7_report(spark: SparkSession, folder: str) -> DataFrame:
     return packing.report(packing.pack(docs, "doc_id", limits), limits)
 
 
+def _p8(spark: SparkSession, folder: str, budget: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The mix, its targets and its plan; documents are encoded once."""
+    docs = checkpointed(tokens.sized(table(spark, folder, "documents").select("doc_id", "source", "text"), "text"))
+    targets = table(spark, folder, "mix_targets")
+    if budget is None:
+        planned = mixing.plan_of(docs, "doc_id", "source", targets)
+    else:
+        total = docs.agg(F.sum("n_tokens")).first()[0] or 0
+        planned = mixing.plan_of(docs, "doc_id", "source", targets, budget * total)
+    return mixing.mix(docs, "doc_id", "source", targets, planned=planned), targets, planned
+
+
 def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
-    """Every use of a document in each mix, in the order of the mix."""
-    docs = tokens.sized(table(spark, folder, "documents").select("doc_id", "source", "text"), "text")
-    return mixing.mix(docs, "doc_id", "source", table(spark, folder, "mix_targets")).withColumnRenamed("item", "doc_id")
+    """Every use of a document in each mix, in the order of the mix; the budget is the largest at which all sources with documents meet their shares."""
+    return _p8(spark, folder)[0].withColumnRenamed("item", "doc_id")
 
 
 def p8_report(spark: SparkSession, folder: str) -> DataFrame:
-    return mixing.report(p8_mix(spark, folder), table(spark, folder, "mix_targets"))
+    return mixing.report(*_p8(spark, folder))
+
+
+def p8_given_budget(spark: SparkSession, folder: str) -> DataFrame:
+    """The report of mixes whose total is given, GIVEN_BUDGET times the tokens of all documents: sources run out, the others take over, and what was missed is told."""
+    return mixing.report(*_p8(spark, folder, GIVEN_BUDGET))
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -101,5 +119,5 @@ def p9_restored(spark: SparkSession, folder: str) -> DataFrame:
     return encoding.restored_texts(table(spark, folder, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p7_pack": p7_pack, "p7_report": p7_report, "p8_mix": p8_mix, "p8_report": p8_report, "p9_found": p9_found, "p9_restored": p9_restored, "p3_found": p3_found, "p3_messages": p3_messages, "p5_found": p5_found, "p5_counts": p5_counts}
+QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p7_pack": p7_pack, "p7_report": p7_report, "p8_mix": p8_mix, "p8_report": p8_report, "p8_given_budget": p8_given_budget, "p9_found": p9_found, "p9_restored": p9_restored, "p3_found": p3_found, "p3_messages": p3_messages, "p5_found": p5_found, "p5_counts": p5_counts}
 SQL = {"p5_found": f"SELECT field_name, term, mark FROM ({P5_SQL}) WHERE mark IS NOT NULL", "p5_counts": P5_SQL}
