@@ -53,18 +53,23 @@ def p3_messages(spark: SparkSession, folder: str) -> DataFrame:
     return residue.recurrence(_messages(spark, folder))
 
 
+def _brand_index(spark: SparkSession, folder: str) -> canonical.NgramIndex:
+    return canonical.NgramIndex(canonical.reference_names(table(spark, folder, "brand_list"), "slug", "brand", "aliases"))
+
+
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    brands = table(spark, folder, "brand_list")
-    typed = canonical.map_names(table(spark, folder, "competitors"), "competitor_id", "name", brands, "slug", "brand", "aliases")
-    named = canonical.find_mentions(table(spark, folder, "aio"), "answer_id", "answer_text", brands, "slug", "brand", "aliases")
+    index = _brand_index(spark, folder)
+    typed = canonical.map_names(table(spark, folder, "competitors"), "competitor_id", "name", index)
+    named = canonical.find_mentions(table(spark, folder, "aio"), "answer_id", "answer_text", index)
     row = lambda df, src: df.select(F.lit(src).alias("src"), F.col("item").alias("row_id"), F.col("key").alias("slug"))
     return row(typed, "competitors").unionByName(row(named, "aio"))
 
 
 def p1_unmatched(spark: SparkSession, folder: str) -> DataFrame:
     """The typed values that mean no entry, with their frequency."""
-    found = p1_found(spark, folder).filter("src = 'competitors' AND slug = 'unmatched'").select(F.col("row_id").alias("competitor_id"))
-    return table(spark, folder, "competitors").join(found, "competitor_id").groupBy("name").agg(F.count(F.lit(1)).alias("n_rows"))
+    competitors = table(spark, folder, "competitors")
+    found = canonical.map_names(competitors, "competitor_id", "name", _brand_index(spark, folder)).filter("key = 'unmatched'").select(F.col("item").alias("competitor_id"))
+    return competitors.join(found, "competitor_id").groupBy("name").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 def _p7(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
