@@ -22,6 +22,7 @@ def test_text_signals(spark):
     assert o["headline_offer"] == "up to 40% off" and o["max_discount_pct"] == 40 and o["offers"][0] == "up to 40% off"
     assert one(spark, page.offers(T), t=None)["offers"] == []
     assert one(spark, page.delivery(T), t="Free UK delivery over £30. Next day delivery. Next day delivery")[:2] == ["next day delivery", "free uk delivery over £30"]
+    assert one(spark, page.offer_strength(T), t=f"50{NB}% off") == 50
     assert one(spark, page.discount_codes(T), t="Use code: SAVE20 or code HTML; with code ab") == ["SAVE20"]
     assert one(spark, page.free_delivery_threshold(T), t="free delivery over £50") == 50
     assert one(spark, page.free_delivery_threshold(T), t="free shipping") == 0
@@ -70,6 +71,12 @@ def test_prices(spark):
     band = one(spark, page.price_band(F.array(F.lit(1.0), F.lit(2.0), F.lit(10.0), F.lit(13.0), F.lit(0.5))), t="")
     assert (band["count"], band["p25"], band["median"], band["p75"]) == (4, 1.75, 6.0, 10.75)
     assert one(spark, page.price_band(F.array().cast("array<double>")), t="")["median"] is None
+    home = one(spark, page.home_band(F.transform(F.sequence(F.lit(1), F.lit(50)), lambda x: x.cast("double"))), t="")
+    assert (home["count"], home["currency"], home["median"], len(home["sample"])) == (50, "GBP", 25.5, 30)
+    far = '"title":"Gift card"' + " " * 275 + '"price":5,"price":6' + " " * 290 + '"name":"Donation"'
+    assert prices.titled_prices(far) == [(5.0, "Gift card"), (6.0, "")]
+    shown = one(spark, prices.scan(H, T, F.array(F.lit("Ribbon")), F.array(F.lit(9.0))), h=None, t=f"Gift wrap £2 tote £{NB}30\nribbon\n£4 ribbon £5 £9.00 scarf £12.345")
+    assert shown["visible"] == [30.0, 4.0, 12.34] and shown["structured"] == []
     pairs = one(spark, page.sale_pairs(H, T), h='{"price":"20","compare_at_price":"35"}{"price":9,"compare_at_price":9}', t="was £40 now £25")
     assert [tuple(x) for x in pairs] == [(35.0, 20.0), (40.0, 25.0)]
 
@@ -91,6 +98,17 @@ def test_markup_pass(spark):
     assert r[1]["seo"]["h1_count"] == 1 and r[2]["title"] is None and len(r) == 4
 
 
+def test_markup_details(spark):
+    pages = [
+        '<nav><ul></ul><a href="/a">Rings</a><a href="/b">FAQs</a><a href="/c">Delivery</a><a>No link</a></nav>', '<a href="#skip">Jump</a><h1> </h1><h1>One <b>two</b></h1>', '<a href="#m">Sk<b>ip</b></a><script>var a</script><noscript>off</noscript><title>A b</title><p>c d</p>',
+    ]
+    p = html.parsed(spark.createDataFrame(list(enumerate(pages)), "id int, html string").withColumn("url", F.lit("")))
+    r = [x for x in p.select("id", "page.*").orderBy("id").collect()]
+    assert r[0]["menu"] == ["Rings", "Delivery"]
+    assert (r[1]["n_h1"], r[1]["h1"], r[1]["ratios"][9]) == (1, ["Onetwo"], 0.0)
+    assert r[2]["ratios"][9] == 1.0 and r[2]["n_words"] == 7
+
+
 def test_sitemaps(spark):
     index = "<sitemapindex><sitemap><loc>https://s.example/products.xml</loc></sitemap><sitemap><loc>https://s.example/pages.xml</loc></sitemap></sitemapindex>"
     body = "<urlset><url><loc> https://s.example/products/A-Tote/ </loc></url><url><loc>https://s.example/products/b&amp;c</loc><image:image/></url><url><loc>https://s.example/about</loc></url></urlset>"

@@ -84,7 +84,7 @@ def change_rules(p: Column, c: Column, bnpl: Sequence[str]) -> Column:
     """All events between two states, in rule order."""
     pay_later = F.array(*[F.lit(b) for b in bnpl])
     no_sale_before, no_sale_now = p["headline"].isNull(), c["headline"].isNull()
-    shift = F.expr("try_divide(1D, 1D)") * (c["median"] - p["median"]) / F.when(p["median"] != 0, p["median"])
+    shift = (c["median"] - p["median"]) / F.when(p["median"] != 0, p["median"])
     return F.flatten(F.array(
         _one(no_sale_before & ~no_sale_now, "sale_started", c["headline"]),
         _one(~no_sale_before & no_sale_now, "sale_ended", F.lit("")),

@@ -448,7 +448,7 @@ def _(s, d):
     return _docs(s, d).select("doc_id", page.normal(F.col("text")).alias("t"))
 
 
-@query("x04_offer_strength", r"SELECT doc_id, coalesce(list_max(list_filter(list_transform(regexp_extract_all(lower(coalesce(text, '')), '(\d{1,3})\s*%', 1), lambda x: CAST(x AS INT)), lambda x: x <= 90)), CASE WHEN regexp_matches(lower(text), '\b(sale|clearance|outlet|black friday|cyber monday)\b') THEN 5 ELSE 0 END) AS strength FROM documents")
+@query("x04_offer_strength", r"SELECT doc_id, coalesce(list_max(list_filter(list_transform(regexp_extract_all(lower(coalesce(text, '')), '([0-9]{1,3})[\s\x{000B}\x{0085}\p{Z}]*%', 1), lambda x: CAST(x AS INT)), lambda x: x <= 90)), CASE WHEN regexp_matches(lower(text), '\b(sale|clearance|outlet|black friday|cyber monday)\b') THEN 5 ELSE 0 END) AS strength FROM documents")
 def _(s, d):
     return _docs(s, d).select("doc_id", page.offer_strength(F.col("text")).alias("strength"))
 
@@ -509,7 +509,7 @@ def _(s, d):
 @query("x31_price_bands")
 def _(s, d):
     scanned = _docs(s, d).select("doc_id", prices.scan(F.col("text"), F.col("text")).alias("p"))
-    return scanned.select("doc_id", F.to_json(page.price_band(prices.home_prices(F.col("p")))).alias("band"))
+    return scanned.select("doc_id", F.to_json(page.home_band(prices.home_prices(F.col("p")))).alias("band"))
 
 
 _PAGE = f"WITH {CAP}, p AS (SELECT * FROM ok WHERE hero_message IS NOT NULL AND seo.title IS NOT NULL) "
