@@ -305,37 +305,47 @@ def find_mentions(df: DataFrame, item: str, text: str, index: NgramIndex) -> Dat
     windows around a word the longest that means an entry decides, the likeliest on a tie.
     """
     skipped = ("the", *JOINERS)
-    normal = lambda w: F.regexp_replace(_unquoted(plain(w)), r"[^\p{L}\p{Nd}]+", "")
-    tokens = F.regexp_extract_all(F.col(text), F.lit(rf"{_WORD}|[&+]|[;!?|\n]"), 0)
-    texts = df.select(F.col(item).alias("item"), tokens.alias("w"))
-    # distinct words of all texts, normalised once each, against the telling words of the list
-    spelt = texts.select(F.explode(F.array_distinct("w")).alias("token")).groupBy("token").agg(F.lit(1).alias("one")).select("token", normal(F.col("token")).alias("form"))
-    spelt = checkpointed(spelt.filter((F.length("form") >= 2) & ~F.col("form").isin(*skipped)))
-    near = _words_like(index, spelt.select("form").distinct())
-    hits = checkpointed(spelt.join(near, "form").select("token", F.col("form").alias("centre")))
-    # windows around those words only
+    # texts are cut at blanks only, which is cheap; patterns see distinct pieces, and the surroundings of hits
+    pieces = F.split(F.replace(F.translate(F.col(text), "\t\r\f\u00a0\u2007\u202f", "      "), F.lit("\n"), F.lit(" \n ")), " ")
+    texts = df.select(F.col(item).alias("item"), pieces.alias("w"))
+    spelt = texts.select(F.explode(F.array_distinct("w")).alias("piece")).groupBy("piece").agg(F.lit(1).alias("one"))
+    words = checkpointed(spelt.select("piece", F.explode(F.transform(F.regexp_extract_all("piece", F.lit(_WORD), 0), _word)).alias("form")).filter((F.length("form") >= 2) & ~F.col("form").isin(*skipped)))
+    near = _words_like(index, words.select("form").distinct())
+    hits = checkpointed(words.join(near, "form").select("piece").distinct())
+    # windows around words of those pieces only
     span = max(index.longest - 1, 0)
     reach = 2 * span + 1
-    at = lookup_join(texts.select("item", "w", F.posexplode("w").alias("pos", "token")), hits, ["token"])
-    clean = lambda part, other_side: F.filter(F.transform(F.filter(F.split(F.regexp_replace(F.array_join(part, " "), other_side, " "), " +"), lambda t: ~t.isin("&", "+")), normal), lambda t: (t != "") & ~t.isin(*skipped))
-    # a name doesn't go on beyond a line or such a mark
-    left = clean(F.slice("w", F.greatest(F.col("pos") - reach + 1, F.lit(1)), F.least(F.col("pos"), F.lit(reach))), r"(?s)^.*[;!?|\n]")
-    right = clean(F.slice("w", F.col("pos") + 2, reach), r"(?s)[;!?|\n].*$")
-    at = at.select("item", "pos", "centre", (F.when(F.col("pos") > 0, F.get("w", F.col("pos") - 1)).isin("&", "+")).alias("joined_on"), left.alias("l"), right.alias("r"))
+    at = lookup_join(texts.select("item", "w", F.posexplode("w").alias("pos", "piece")), hits, ["piece"])
+    fine = lambda part: F.regexp_extract_all(F.array_join(part, " "), F.lit(rf"{_WORD}|[&+]|[;!?|\n]"), 0)
+    at = at.select(
+        "item", "pos", fine(F.slice("w", F.greatest(F.col("pos") - reach + 1, F.lit(1)), F.least(F.col("pos"), F.lit(reach)))).alias("l"), fine(F.array("piece")).alias("c"), fine(F.slice("w", F.col("pos") + 2, reach)).alias("r")
+    )
+    at = at.select("item", "pos", "l", "c", "r", F.explode(F.sequence(F.lit(1), F.size("c"))).alias("n")).withColumn("centre", F.element_at("c", F.col("n"))).filter(~F.col("centre").rlike(r"^[&+;!?|\n]$"))
+    left, right = F.concat("l", F.slice("c", F.lit(1), F.col("n") - 1)), F.concat(F.slice("c", F.col("n") + 1, F.size("c")), "r")
+    # a name doesn't go on beyond a line or such a mark; joining words and signs aren't counted
+    clean = lambda part, other_side: F.filter(F.split(F.regexp_replace(F.array_join(part, " "), other_side, " "), " +"), lambda t: ~F.lower(t).isin("", "&", "+", *skipped))
+    at = at.select("item", "pos", "n", "centre", F.try_element_at(left, F.lit(-1)).isin("&", "+").alias("joined_on"), clean(left, r"(?s)^.*[;!?|\n]").alias("l"), clean(right, r"(?s)[;!?|\n].*$").alias("r"))
     windows = [F.when(~F.coalesce("joined_on", F.lit(False)), F.col("centre"))]
     for before in range(span + 1):
         for after in range(span + 1 - before):
             if before + after:
-                words = F.concat(F.slice("l", -before, before) if before else F.array().cast("array<string>"), F.array("centre"), F.slice("r", 1, after) if after else F.array().cast("array<string>"))
-                windows.append(F.when((F.size("l") >= before) & (F.size("r") >= after), _spaced(words)))
+                words_in = F.concat(F.slice("l", -before, before) if before else F.array().cast("array<string>"), F.array("centre"), F.slice("r", 1, after) if after else F.array().cast("array<string>"))
+                windows.append(F.when((F.size("l") >= before) & (F.size("r") >= after), _spaced(words_in)))
     # a kept table: it is read for the distinct windows and for the result
-    around = checkpointed(at.select("item", "pos", F.explode(F.array_compact(F.array(*windows))).alias("form")).distinct())
-    forms = around.groupBy("form").agg(F.lit(1).alias("one")).select("form", F.contains("form", F.lit(" ")).alias("several"))
-    found = checkpointed(match(index, forms, "form", long_name=LONG_WORD).withColumn("n_words", F.size(F.split("form", " "))))
-    chosen = lookup_join(around, found, ["form"]).groupBy("item", "pos").agg(F.max(F.struct("n_words", "score", "key")).alias("b"))
+    around = checkpointed(at.select("item", "pos", "n", F.explode(F.array_compact(F.array(*windows))).alias("window")))
+    seen = checkpointed(around.groupBy("window").agg(F.lit(1).alias("one")).select("window", _spaced(F.filter(F.transform(F.split("window", " "), _word), lambda t: t != "")).alias("form")))
+    forms = seen.groupBy("form").agg(F.lit(1).alias("one")).select("form", F.contains("form", F.lit(" ")).alias("several"))
+    found = match(index, forms, "form", long_name=LONG_WORD)
+    meant = checkpointed(seen.join(found, "form").select("window", "key", "score", F.size(F.split("form", " ")).alias("n_words")))
+    chosen = lookup_join(around, meant, ["window"]).groupBy("item", "pos", "n").agg(F.max(F.struct("n_words", "score", "key")).alias("b"))
     return chosen.select("item", "b.key").distinct()
 
 
+def _word(c: Column) -> Column:
+    """A word's comparison form."""
+    return F.regexp_replace(_unquoted(plain(c)), r"[^\p{L}\p{Nd}]+", "")
+
+
 def _words_like(index: NgramIndex, words: DataFrame) -> DataFrame:
     """(form): distinct words that are within two edits of a telling word, or the beginning of one run together."""
     telling = NgramIndex(telling_words(index))
