@@ -43,8 +43,23 @@ def test_ordinals_persist(spark):
     old = {(r["item"], r["_shard"]): r["_ord"] for r in known.collect()}
     new = {(r["item"], r["_shard"]): r["_ord"] for r in both.collect()}
     assert all(new[k] == v for k, v in old.items()) and len({(s, o) for (_, s), o in new.items()}) == 8
-    rows = [("g", D[0], ["a", "b"]), ("g", D[1], ["b", "c"])]
-    assert changes(spark, rows, existing=known) == {("g", D[1], "removed", "a"), ("g", D[1], "added", "c")}
+    rows = [(g, D[i], x) for g in ("g", None) for i, x in enumerate((["a", "b"], ["b", "c"]))]
+    assert changes(spark, rows, existing=known) == {(g, D[1], k, x) for g in ("g", None) for k, x in (("removed", "a"), ("added", "c"))}
+
+
+def test_dictionary_is_kept_between_runs(spark, tmp_path):
+    """Two runs over growing snapshots: ordinals of the first stay, null groups and long calendars included, and both give the brute-force rows."""
+    rng = random.Random(9)
+    days = [D[0] + dt.timedelta(i) for i in range(90)]
+    rows = [(g, d, [f"h{rng.randrange(50)}" for _ in range(20)]) for g in ("a", None) for d in days]
+    kept = lambda some: {tuple(r) for r in snapshots.set_changes_kept(spark.createDataFrame(some, "g string, d date, items array<string>"), ["g"], "d", "items", str(tmp_path / "dict")).collect()}
+    read = lambda: {(r["g"], r["_shard"], r["item"]): r["_ord"] for r in snapshots.read_dictionary(spark, str(tmp_path / "dict")).collect()}
+    early = [(g, d, [i for i in items if i < "h3"]) for g, d, items in rows if d < days[40]]
+    assert kept(early) == brute(early)
+    first = read()
+    assert kept(rows) == brute(rows)
+    second = read()
+    assert {k: second[k] for k in first} == first and len(second) > len(first) and len({(g, s, o) for (g, s, _), o in second.items()}) == len(second)
 
 
 def test_latest_delivery_and_fields(spark):

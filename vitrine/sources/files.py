@@ -16,7 +16,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
-def _has_rows(spark: SparkSession, path: str) -> bool:
+def has_rows(spark: SparkSession, path: str) -> bool:
     """Whether a folder holds anything that a reader would see."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -64,7 +64,7 @@ def finish_pending(spark: SparkSession, path: str, date: str) -> None:
 def read_store(spark: SparkSession, path: str, date: str) -> DataFrame | None:
     """A keyed store with the columns of all its batches; None where there is none yet."""
     finish_pending(spark, path, date)
-    return spark.read.option("mergeSchema", "true").parquet(path) if _has_rows(spark, path) else None
+    return spark.read.option("mergeSchema", "true").parquet(path) if has_rows(spark, path) else None
 
 
 def stage_upsert(spark: SparkSession, path: str, new: DataFrame, key: Sequence[str], date: str, order: Sequence[str]) -> None:
