@@ -36,14 +36,33 @@ def test_changes(spark):
     assert {"!unreadable", "!absent", "number", "text", "list"} <= kinds
 
 
-def test_unified_reports_failed_casts(spark):
-    rows = rows_of([lambda i: {"n": i}, lambda i: {"n": "many" if i == 0 else i}])
+IDS = ["raw_id", "feed_id", "file_no", "slug", "storefront"]
+
+
+def typed(spark, rows):
     df = spark.createDataFrame(rows, RAW)
-    v = sd.path_values(df, ["raw_id", "feed_id", "file_no", "slug", "storefront"], ["listing"])
+    v = sd.path_values(df, IDS, ["listing"])
     changes = sd.drift(v, df, "feed_id", "file_no", ["slug", "storefront"], "raw_id")
-    names = sd.canonical_names(changes, sd.fields_by_file(v, "feed_id", "file_no"))
-    table = sd.unified(v, names, ["raw_id"])
-    assert [r["text"] for r in table.filter("cast_failed").collect()] == ["many"] and table.count() == 8
+    names = sd.canonical_names(changes, sd.fields_by_file(v, "feed_id", "file_no"), "feed_id")
+    return sd.typed_values(v, names, "feed_id", IDS)
+
+
+def test_wide_table_and_failed_casts(spark):
+    t = typed(spark, rows_of([lambda i: {"n": 7 + i, "on": True, "l": ["a", "b"]}, lambda i: {"n": "many" if i == 0 else "1,234" if i == 1 else 7 + i, "on": "perhaps" if i == 0 else "yes" if i == 1 else True, "l": "a, b" if i < 2 else ["c"]}]))
+    w = sd.wide_table(t, ["raw_id"])
+    assert {f.name: f.dataType.simpleString() for f in w.schema.fields} == {"raw_id": "bigint", "listing.l": "array<string>", "listing.n": "double", "listing.on": "boolean", "failed_casts": "array<string>"}
+    got = {r["raw_id"]: r.asDict() for r in w.collect()}
+    assert got[1] == {"raw_id": 1, "listing.n": 7.0, "listing.on": True, "listing.l": ["a", "b"], "failed_casts": []}
+    assert got[5] == {"raw_id": 5, "listing.n": None, "listing.on": None, "listing.l": ["a", "b"], "failed_casts": ["listing.n", "listing.on"]} and got[6]["listing.n"] == 1234.0
+    assert {(r["field"], r["kind"]): (r["n_values"], r["n_failed"]) for r in sd.cast_report(t).collect()}["n", "text"] == (2, 1)
+    assert sd.wide_table(t.limit(0), ["raw_id"]).count() == 0
+
+
+def test_a_rename_in_one_feed_leaves_others_alone(spark):
+    rows = rows_of([lambda i: {"x": 50 + 10 * i}, lambda i: {"y": 50 + 10 * i}])
+    rows += [(100 + n, 2, no, "s", f"f{i}", json.dumps({"x": 7 * i + 1, "y": 300 + i}), "path") for n, (no, i) in enumerate((no, i) for no in (1, 2) for i in range(4))]
+    got = {(r["feed_id"], r["text"]): r["field"] for r in typed(spark, rows).collect()}
+    assert len({f for (feed, _), f in got.items() if feed == 1}) == 1 and {got[2, "1"], got[2, "300"]} == {"x", "y"}
 
 
 def test_odd_records(spark):

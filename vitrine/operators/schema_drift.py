@@ -22,12 +22,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.session import checkpointed
+from vitrine.session import checkpointed, lookup_join
 
 #: A rename needs this share of the common places to have matching values.
 MATCH_SHARE = 0.6
-#: Fields whose names are collected to settle canonical names; a schema with more is refused.
-MAX_FIELDS = 100_000
+#: Columns of the wide table; a schema with more fields is refused.
+MAX_COLUMNS = 2_000
+#: Numbers with grouping marks, and the marks.
+_GROUPED, _MARKS = r"^[+-]?\d{1,3}([,'’\u00a0\u202f ]\d{3})+(\.\d+)?$", r"[,'’\u00a0\u202f ]"
 
 
 def _leaves(value: dict, prefix: str = "") -> Iterator[tuple[str, object]]:
@@ -104,8 +106,7 @@ def _value_keys() -> list:
     """Under which keys a value is indexed: its text without case and blanks (grouping marks off, yes and true as 1, no and false as 0); numbers also in two
     overlapping logarithmic bins of 10 %, and whole ones up to 20 with their neighbours. A zero meets zeros only, as 0 and 1 are a flag's two values too."""
     text = F.trim("value")
-    grouped = text.rlike(r"^[+-]?\d{1,3}([,'’\u00a0\u202f ]\d{3})+(\.\d+)?$")
-    text = F.when(grouped, F.regexp_replace(text, r"[,'’\u00a0\u202f ]", "")).otherwise(text)
+    text = F.when(text.rlike(_GROUPED), F.regexp_replace(text, _MARKS, "")).otherwise(text)
     number = text.try_cast("double")
     size = F.when((F.abs(number) > 0) & (F.abs(number) < 1e300), F.log(F.abs(number)))
     plain = F.lower(F.regexp_replace(F.regexp_replace(text, r'[\s"\[\]]+', ""), r"\.0$", ""))
@@ -170,47 +171,63 @@ def drift(values: DataFrame, files: DataFrame, feed: str, file_no: str, place: l
     )
 
 
-def canonical_names(changes: DataFrame, fields: DataFrame) -> DataFrame:
-    """(block_name, path, canonical): paths linked by renames share the name that most files use.
+def canonical_names(changes: DataFrame, fields: DataFrame, feed: str) -> DataFrame:
+    """(feed, block_name, path, canonical): paths that renames link within a feed share the name that most files of all feeds use.
 
-    The graph is over field names, a property of the schema and not of the rows; its size is checked.
+    A rename in one feed says nothing about another, where both names may stand side by side. The
+    links of a feed's block are as few as its fields, so each is settled in one piece of a task.
     """
-    used = fields.groupBy("block_name", "path").agg(F.count(F.lit(1)).alias("n")).limit(MAX_FIELDS + 1).collect()
-    links = changes.filter("change_kind = 'renamed'").select("block_name", "old_field", "new_field").distinct().limit(MAX_FIELDS + 1).collect()
-    if max(len(used), len(links)) > MAX_FIELDS:
-        raise ValueError(f"more than {MAX_FIELDS} distinct fields: these aren't records of one schema")
-    parent: dict = {}
-
-    def root(x):
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for b, old, new in links:
-        parent[root((b, old))] = root((b, new))
-    weight = {(r[0], r[1]): r[2] for r in used}
-    best: dict = {}
-    for k in weight:
-        g = root(k)
-        if g not in best or (-weight[k], k) < (-weight[best[g]], best[g]):
-            best[g] = k
-    rows = [(b, p, best[root((b, p))][1]) for b, p in weight]
-    return fields.sparkSession.createDataFrame(rows, "block_name string, path string, canonical string")
-
-
-def unified(values: DataFrame, names: DataFrame, ids: list[str]) -> DataFrame:
-    """(ids, block_name, field, kind, number, flag, text, items, cast_failed): each value under its canonical field in that field's prevailing type.
+    used = fields.groupBy("block_name", "path").agg(F.count(F.lit(1)).alias("_n"))
+    own = fields.select(feed, "block_name", "path").distinct().join(used, ["block_name", "path"])
+    links = changes.filter("change_kind = 'renamed'").select(feed, "block_name", "old_field", "new_field").distinct()
+    kind = fields.schema[feed].dataType.simpleString()
+
+    def settle(here: pd.DataFrame, moved: pd.DataFrame) -> pd.DataFrame:
+        group = {p: {p} for p in here["path"]}
+        for old, new in zip(moved["old_field"], moved["new_field"]):
+            both = group.get(old, {old}) | group.get(new, {new})
+            for p in both:
+                group[p] = both
+        n = dict(zip(here["path"], here["_n"]))
+        names = [min((p for p in group[p0] if p in n), key=lambda p: (-n[p], p)) for p0 in here["path"]]
+        return here.assign(canonical=pd.Series(names, index=here.index, dtype=object))[[feed, "block_name", "path", "canonical"]]
+
+    return own.groupBy(feed, "block_name").cogroup(links.groupBy(feed, "block_name")).applyInPandas(settle, f"`{feed}` {kind}, block_name string, path string, canonical string")
+
+
+def typed_values(values: DataFrame, names: DataFrame, feed: str, ids: list[str]) -> DataFrame:
+    """(ids, block_name, field, target, kind, number, flag, items, text, cast_failed): each value under its canonical field, cast to that field's prevailing type.
 
     A value that can't be cast keeps null in the typed column, its raw text, and cast_failed = true.
     """
-    named = values.filter("path IS NOT NULL").join(F.broadcast(names), ["block_name", "path"]).withColumnRenamed("canonical", "field")
+    named = lookup_join(values.filter("path IS NOT NULL"), names, [feed, "block_name", "path"]).withColumnRenamed("canonical", "field")
     counts = named.groupBy("block_name", "field", "kind").agg(F.count(F.lit(1)).alias("n"))
     target = counts.groupBy("block_name", "field").agg(F.min(F.struct(-F.col("n"), F.col("kind"))).alias("_t")).select("block_name", "field", F.col("_t.kind").alias("target"))
-    typed = named.join(F.broadcast(target), ["block_name", "field"])  # a row per field of the schema, bounded like names
-    number = F.when(F.col("target") == "number", F.expr("try_cast(value AS double)"))
-    flag = F.when(F.col("target") == "true/false", F.expr("try_cast(value AS boolean)"))
+    typed = lookup_join(named, checkpointed(target), ["block_name", "field"])  # a row per field of the schema
+    plain = F.lower(F.trim("value"))
+    number = F.when(F.col("target") == "number", F.coalesce(F.trim("value").try_cast("double"), F.when(F.trim("value").rlike(_GROUPED), F.regexp_replace(F.trim("value"), _MARKS, "").try_cast("double"))))
+    flag = F.when(F.col("target") == "true/false", F.when(plain.isin("true", "yes", "1", "1.0"), True).when(plain.isin("false", "no", "0", "0.0"), False))
     items = F.when(F.col("target") == "list", F.when(F.col("kind") == "list", F.from_json("value", "array<string>")).otherwise(F.split("value", r"\s*,\s*")))
     out = typed.withColumns({"number": number, "flag": flag, "items": items, "text": F.col("value")})
     failed = ((F.col("target") == "number") & F.col("number").isNull()) | ((F.col("target") == "true/false") & F.col("flag").isNull()) | ((F.col("target") == "list") & F.col("items").isNull())
     return out.select(*ids, "block_name", "field", "target", "kind", "number", "flag", "items", "text", F.coalesce(failed, F.lit(False)).alias("cast_failed"))
+
+
+def wide_table(typed: DataFrame, ids: list[str]) -> DataFrame:
+    """One row per record: ids, a typed column `block.field` for every canonical field, and failed_casts, the fields whose value is kept out as it can't be cast.
+
+    Columns are a property of the schema; their number is checked. A record with two values of a field keeps the greater.
+    """
+    fields = typed.select("block_name", "field", "target").distinct().limit(MAX_COLUMNS + 1).collect()
+    if len(fields) > MAX_COLUMNS:
+        raise ValueError(f"more than {MAX_COLUMNS} fields: these aren't records of one schema")
+    column = {"number": "number", "true/false": "flag", "list": "items"}
+    here = lambda f: (F.col("block_name") == f["block_name"]) & (F.col("field") == f["field"])
+    each = [F.max(F.when(here(f), F.col(column.get(f["target"], "text")))).alias(f"{f['block_name']}.{f['field']}") for f in sorted(fields)]
+    failed = F.array_sort(F.collect_set(F.when(F.col("cast_failed"), F.concat_ws(".", "block_name", "field")))).alias("failed_casts")
+    return typed.groupBy(*ids).agg(*each, failed)
+
+
+def cast_report(typed: DataFrame) -> DataFrame:
+    """(block_name, field, target, kind, n_values, n_failed): how the values of each raw type went into their field's type."""
+    return typed.groupBy("block_name", "field", "target", "kind").agg(F.count(F.lit(1)).alias("n_values"), F.count_if("cast_failed").alias("n_failed"))

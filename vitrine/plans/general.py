@@ -179,12 +179,23 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return schema_drift.drift(values, files, "feed_id", "file_no", PLACE, "raw_id")
 
 
-def p6_table(spark: SparkSession, folder: str) -> DataFrame:
-    """The consistent table in long form: each value under its canonical field and type, with failed casts marked."""
+def _typed_files(spark: SparkSession, folder: str) -> DataFrame:
     values, files = file_values(spark, folder)
     changes = schema_drift.drift(values, files, "feed_id", "file_no", PLACE, "raw_id")
-    names = schema_drift.canonical_names(changes, schema_drift.fields_by_file(values, "feed_id", "file_no"))
-    return schema_drift.unified(values, names, ["raw_id", "feed_id", "file_no", *PLACE]).withColumn("items", F.to_json("items"))
+    names = checkpointed(schema_drift.canonical_names(changes, schema_drift.fields_by_file(values, "feed_id", "file_no"), "feed_id"))
+    return checkpointed(schema_drift.typed_values(values, names, "feed_id", ["raw_id", "feed_id", "file_no", *PLACE]))
+
+
+def p6_table(spark: SparkSession, folder: str) -> DataFrame:
+    """The consistent table: one row per raw record with a typed column for each canonical field of the three blocks; lists as JSON text."""
+    wide = schema_drift.wide_table(_typed_files(spark, folder), ["raw_id", "feed_id", "file_no", *PLACE])
+    lists = [f.name for f in wide.schema.fields if f.dataType.typeName() == "array"]
+    return wide.withColumns({c: F.to_json(F.col(f"`{c}`")) for c in lists})
+
+
+def p6_casts(spark: SparkSession, folder: str) -> DataFrame:
+    """How many values of each raw type went into each field's type, and how many couldn't."""
+    return schema_drift.cast_report(_typed_files(spark, folder))
 
 
 def p6_report(spark: SparkSession, folder: str) -> DataFrame:
@@ -199,7 +210,7 @@ P6_REPORT_SQL = " UNION ALL ".join(
     for b in FILE_BLOCKS
 )
 
-QUERIES = {"p2_found": p2_found, "p2_summary": p2_summary, "p4_found": p4_found, "p4_profile": p4_profile, "p4_control": p4_control, "p6_found": p6_found, "p6_table": p6_table, "p6_report": p6_report}
+QUERIES = {"p2_found": p2_found, "p2_summary": p2_summary, "p4_found": p4_found, "p4_profile": p4_profile, "p4_control": p4_control, "p6_found": p6_found, "p6_table": p6_table, "p6_casts": p6_casts, "p6_report": p6_report}
 SQL = {
     "p2_found": P2_SQL,
     "p2_summary": "SELECT src, slug, storefront, on_date, count(*) FILTER (change_kind = 'added') AS n_added, count(*) FILTER (change_kind = 'removed') AS n_removed, count(*) FILTER (change_kind = 'changed') AS n_changed FROM (" + P2_SQL + ") GROUP BY ALL",
