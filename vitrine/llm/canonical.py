@@ -41,6 +41,8 @@ THRESHOLD, LEAD = 0.3, 0.03
 GRAM = 2
 #: Shortest form that is matched by likeness; from LONG_NAME letters on two edits are allowed, below one; within texts from LONG_WORD on.
 SHORTEST, LONG_NAME, LONG_WORD = 5, 7, 8
+#: Cosine from which on words that answer to each other are looked at.
+WORDS_THRESHOLD = 0.45
 #: Share of a name's weight whose words a value must hold, and share of its own weight that may lie in other words.
 NAME_SHARE, ADDED_SHARE = 0.7, 0.45
 #: A leading word stands for its entry from this length on.
@@ -246,7 +248,7 @@ def match(index: NgramIndex, values: DataFrame, value: str, long_name: int = LON
     """
     have = set(values.columns)
     kept = values.select(value, *[c for c in ("vwords", "several") if c in have])
-    kept = kept.repartition(values.sparkSession.sparkContext.defaultParallelism * 2, value)
+    kept = kept.repartition(values.sparkSession.sparkContext.defaultParallelism * 2)
     names = index.described()
     names = F.broadcast(names) if fits_broadcast(names) else names
     pairs = index.scored(kept, value, threshold).join(names, "name")
@@ -258,7 +260,7 @@ def match(index: NgramIndex, values: DataFrame, value: str, long_name: int = LON
     apart = F.when(a == b, 0).when((F.length(a) >= SHORTEST) & (F.abs(F.length(a) - F.length(b)) <= 2), edits(a, b, _letters(a), _letters(b)))
     apart = F.when(apart <= F.when(F.length(a) < long_name, 1).otherwise(2), apart)
     if "vwords" in have:
-        apart = F.coalesce(apart, F.when((F.length(a) >= SHORTEST) & words_answer(F.col("vwords"), F.col("nwords")), 3))
+        apart = F.coalesce(apart, F.when((F.length(a) >= SHORTEST) & (F.col("score") >= WORDS_THRESHOLD) & words_answer(F.col("vwords"), F.col("nwords")), 3))
     passed = pairs.withColumn("apart", apart).filter("apart IS NOT NULL").withColumn("score", F.when(F.col("apart") == 0, 1.0).otherwise(F.least(F.col("score"), F.lit(0.999))))
     # the check leaves the entries that are least apart; among them the cosine decides, by its lead
     per_key = passed.groupBy(value, "key").agg(F.min(F.struct("apart", (-F.col("score")).alias("minus"))).alias("o"))
@@ -351,6 +353,6 @@ def _words_like(index: NgramIndex, words: DataFrame) -> DataFrame:
     telling = NgramIndex(telling_words(index))
     a, b = F.col("form"), F.col("name")
     # a window's check is on the whole, so the words of it are held against the looser bound
-    pairs = telling.scored(words.repartition(words.sparkSession.sparkContext.defaultParallelism * 2, "form"), "form", THRESHOLD - 0.1)
+    pairs = telling.scored(words.repartition(words.sparkSession.sparkContext.defaultParallelism * 2), "form", THRESHOLD - 0.1)
     ok = (a == b) | ((F.length(b) >= 4) & edits(a, b, _letters(a), _letters(b)).isNotNull())
     return pairs.filter(ok).select("form").distinct()
