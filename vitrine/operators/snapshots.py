@@ -3,9 +3,8 @@
 Set snapshots (a list of item keys per group and date): every item gets a persistent
 ordinal within its group; a snapshot becomes a compressed bitmap, stored as its non-zero
 64-bit words; AND-NOT of a date's words with those of the date before gives additions
-and removals. Items cross the network as the bits of the dates that hold them, combined
-before the shuffle, not as a row a date. The dictionary of ordinals can be kept in a folder,
-where each run reads it and adds the items that are new.
+and removals. Items, and the dictionary of ordinals given earlier, cross the network once.
+The dictionary can be kept in a folder, where each run reads it and adds the items that are new.
 
 Record snapshots (fields per key and date): a key's dates become ordinals, each field an
 ordinal-aligned vector, and neighbours in the vector are compared.
@@ -44,20 +43,21 @@ def assign_ordinals(items: DataFrame, group: list[str], item: str, existing: Dat
     An item's shard is a hash of it, and ordinals are dense within (group, shard); both
     together identify an item for good. Groups are compared null-safe.
     """
-    distinct = items.select(*group, shard_of(F.col(item), shards).alias("_shard"), F.col(item).alias("item")).filter("item IS NOT NULL").distinct()
-    return _numbered(distinct, group, existing).select(*group, "_shard", F.col("item").alias(item), "_ord")
+    rows = items.select(*group, shard_of(F.col(item), shards).alias("_shard"), F.col(item).alias("item"), F.lit(0).alias("_at")).filter("item IS NOT NULL")
+    return _numbered(rows, group, existing).select(*group, "_shard", F.col("item").alias(item), "_ord")
 
 
 def _numbered(rows: DataFrame, group: list[str], existing: DataFrame | None) -> DataFrame:
-    """Adds _ord to rows of (group, _shard, item, ...), the same one to all rows of an item; items that only the dictionary has come along. Rows without an item get none."""
-    rows = rows.withColumn("_old", F.lit(None).cast("long"))
+    """(group, _shard, item, _at, _ord) from rows of (group, _shard, item, _at): a row an item with all its _at as a list; items that only the dictionary has come along with none."""
+    rows = rows.select(*group, "_shard", "item", "_at", F.lit(None).cast("long").alias("_old"))
     if existing is not None:
         rows = rows.unionByName(existing.select(*group, "_shard", "item", F.col("_ord").alias("_old")), allowMissingColumns=True)
-    # one partitioning, by group and shard, serves all three windows
-    shard, same = Window.partitionBy(*group, "_shard"), Window.partitionBy(*group, "_shard", "item")
-    rows = rows.withColumn("_known", F.max("_old").over(same)).withColumn("_begins", F.coalesce(F.max("_old").over(shard) + 1, F.lit(0)))
-    new = F.dense_rank().over(shard.orderBy(F.col("_known").isNotNull() | F.col("item").isNull(), F.col("item")))
-    return rows.withColumn("_ord", F.when(F.col("item").isNotNull(), F.coalesce("_known", F.col("_begins") + new - 1)).cast("long")).drop("_begins", "_known", "_old")
+    # one partitioning, by group and shard, serves the items and their numbering
+    per_item = rows.repartition(*[F.col(c) for c in (*group, "_shard")]).groupBy(*group, "_shard", "item").agg(F.collect_list("_at").alias("_at"), F.max("_old").alias("_old"))
+    w = Window.partitionBy(*group, "_shard")
+    new = F.row_number().over(w.orderBy(F.col("_old").isNotNull(), F.col("item")))
+    begins = F.coalesce(F.max("_old").over(w) + 1, F.lit(0)) if existing is not None else F.lit(0)
+    return per_item.select(*group, "_shard", "item", "_at", F.coalesce("_old", begins + new - 1).cast("long").alias("_ord"))
 
 
 def read_dictionary(spark: SparkSession, path: str) -> DataFrame | None:
@@ -95,41 +95,34 @@ def set_changes_kept(snapshots: DataFrame, group: list[str], date: str, items: s
     spark = snapshots.sparkSession
     known = read_dictionary(spark, path)
     rows = _presence(snapshots, group, date, items, known, shards)
-    store_dictionary(rows.select(*group, "_shard", "item", "_ord").distinct(), path)
+    store_dictionary(rows.select(*group, "_shard", "item", "_ord"), path)
     return set_changes(snapshots, group, date, items, read_dictionary(spark, path), shards)
 
 
 def _presence(snapshots: DataFrame, group: list[str], date: str, items: str, existing: DataFrame | None, shards: int) -> DataFrame:
-    """(group, _shard, item, _ord, _block, _bits, _days): each item with its ordinal and, 64 to a word, the places of the dates that hold it in its group's order of dates."""
-    # a date's place in its group: over light rows, without the arrays
+    """(group, _shard, item, _ord, _at): each item with its ordinal and the dates that hold it, each with the date that follows in the group and whether it is the group's first."""
+    # which date follows which: over light rows, without the arrays
     w = Window.partitionBy(*group).orderBy(date)
-    calendar = snapshots.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate((*group, date))], (F.row_number().over(w) - 1).alias("_place"))
+    calendar = snapshots.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate((*group, date))], F.lead(date).over(w).alias("_next"), (F.row_number().over(w) == 1).alias("_head"))
     same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate((*group, date))]
     dated = snapshots.select(*group, date, F.col(items).alias("_items")).join(calendar, same)
-    flat = dated.select(*group, "_place", F.explode(F.array_distinct("_items")).alias("item")).filter(F.length(F.trim("item")) > 0)
-    # combined before the shuffle: an item's dates are bits of a word
-    bits = flat.groupBy(*group, shard_of(F.col("item"), shards).alias("_shard"), "item", F.shiftright("_place", 6).alias("_block")).agg(F.expr("bit_or(shiftleft(1L, cast(_place & 63 as int)))").alias("_bits"))
-    # each shard of a group gets the group's dates as a row of its own: no join, whatever the group's size
-    keys = [F.col(f"_k{i}").alias(c) for i, c in enumerate(group)]
-    days = calendar.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_place", F.col(f"_k{len(group)}").alias("d")))).alias("_days"))
-    copies = days.select(*group, F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("_shard"), "_days")
-    numbered = _numbered(bits.unionByName(copies, allowMissingColumns=True), group, existing)
-    spread = numbered.withColumn("_days", F.first("_days", ignorenulls=True).over(Window.partitionBy(*group, "_shard").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    return spread.filter("item IS NOT NULL")
+    at = F.struct(F.col(date).alias("d"), F.col("_next").alias("n"), F.col("_head").alias("h")).alias("_at")
+    flat = dated.select(*group, at, F.explode(F.array_distinct("_items")).alias("item")).filter(F.length(F.trim("item")) > 0)
+    return _numbered(flat.withColumn("_shard", shard_of(F.col("item"), shards)), group, existing)
 
 
 def _changes(rows: DataFrame, group: list[str], date: str) -> DataFrame:
-    # words of the snapshots' bitmaps: 64 ordinals to a word, zero words aren't stored
-    word, bit = F.shiftright("_ord", 6).alias("_word"), F.expr("shiftleft(1L, cast(_ord & 63 as int))").alias("_bit")
-    within = F.sequence(F.lit(0), F.least(F.lit(63), F.size("_days") - 1 - F.col("_block") * 64))
-    places = F.transform(F.filter(within, lambda i: F.call_function("bit_get", F.col("_bits"), i) == 1), lambda i: F.col("_block") * 64 + i)
-    held = rows.filter("_bits IS NOT NULL").select(*group, "_shard", word, bit, "item", "_days", F.explode(places).alias("_at"))
-    side = lambda place, cur, prev: F.when((place > 0) & (place < F.size("_days")), F.struct(F.get("_days", place)["d"].alias("on"), cur.alias("cur"), prev.alias("prev")))
+    # words of the bitmaps: 64 ordinals to a word, zero words aren't stored. An item counts as current for its date and as previous for the next one
+    word, bit = F.shiftright("_ord", 6).alias("_word"), F.expr("shiftleft(1L, cast(_ord & 63 as int))")
+    spread = rows.select(*group, "_shard", word, bit.alias("_bit"), "item", F.explode("_at").alias("_at"))
     nothing = F.lit(0).cast("long")
-    sides = held.select(
+    sides = spread.select(
         *group, "_shard", "_word", F.struct("_bit", "item").alias("_e"),
-        F.explode(F.array_compact(F.array(side(F.col("_at"), F.col("_bit"), nothing), side(F.col("_at") + 1, nothing, F.col("_bit"))))).alias("_s"),
-    )
+        F.explode(F.array(
+            F.struct(F.when(~F.col("_at.h"), F.col("_at.d")).alias("on"), F.col("_bit").alias("cur"), nothing.alias("prev")),
+            F.struct(F.col("_at.n").alias("on"), nothing.alias("cur"), F.col("_bit").alias("prev")),
+        )).alias("_s"),
+    ).filter("_s.on IS NOT NULL")
     # a word comes with the part of the dictionary that it needs, 64 entries at most: nothing is looked up later
     words = sides.groupBy(*group, "_shard", "_word", F.col("_s.on").alias(date)).agg(
         F.expr("bit_or(_s.cur)").alias("_cur"), F.expr("bit_or(_s.prev)").alias("_prev"), F.collect_set("_e").alias("_names")

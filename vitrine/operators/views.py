@@ -27,17 +27,21 @@ def period(date: Column, grain: str) -> Column:
     return F.date_format(date, "yyyy-MM")
 
 
-def seo_health() -> Column:
-    """0 to 100 from the lengths of title and description, headings, and structured data (here: a canonical address)."""
+def seo_health(structured: Column | None = None) -> Column:
+    """0 to 100 from the lengths of title and description, headings, and whether there is structured data; records without such a field have none."""
     title, desc = F.coalesce(F.length("seo.title"), F.lit(0)), F.coalesce(F.length("seo.meta_description"), F.lit(0))
     return (
         F.when(title.between(50, 62), 30).when(title > 0, 15).otherwise(0)
         + F.when(desc.between(120, 160), 30).when(desc > 0, 15).otherwise(0)
         + F.when(F.coalesce("seo.h1_count", F.lit(0)) >= 1, 20).otherwise(0)
-        + F.when(F.coalesce(F.col("seo.canonical"), F.lit("")) != "", 20).otherwise(0)
+        + (F.lit(0) if structured is None else F.when(F.coalesce(F.size(structured), F.lit(0)) > 0, 20).otherwise(0))
     )
 
 
+#: Periods shown of each grain, categories and months of the mix trend. Fixed values.
+PERIODS_SHOWN, TREND_CATEGORIES, TREND_MONTHS = {"week": 8, "month": 6, "quarter": 4}, 8, 6
+
+
 METRICS = {
     "access": lambda: F.col("accessibility_score").cast("double"),
     "seo": lambda: seo_health().cast("double"),
@@ -46,10 +50,10 @@ METRICS = {
 }
 
 
-def period_metric(df: DataFrame, key: Sequence[str], date: str, metric: str, grain: str, shown: int = 8) -> DataFrame:
+def period_metric(df: DataFrame, key: Sequence[str], date: str, metric: str, grain: str) -> DataFrame:
     """(key, period, value): the mean of a metric over each of the last periods."""
     per = df.select(*key, period(F.col(date), grain).alias("period"), METRICS[metric]().alias("v")).groupBy(*key, "period").agg(F.avg("v").alias("value"))
-    periods = per.select("period").distinct().orderBy(F.desc("period")).limit(shown)  # a handful of calendar labels
+    periods = per.select("period").distinct().orderBy(F.desc("period")).limit(PERIODS_SHOWN[grain])  # a handful of calendar labels
     return per.join(F.broadcast(periods), "period", "left_semi")
 
 
@@ -63,11 +67,19 @@ def period_category(rows: DataFrame, date: str, entity: str, category: str, grai
     return kept.join(entities, "period").select("period", category, (100 * F.col("s") / F.col("n_entities")).alias("share"))
 
 
-def trend_change(monthly: DataFrame, category: str) -> DataFrame:
-    """Adds delta: percentage points of the rounded share against the period before."""
-    w = Window.partitionBy(category).orderBy("period")
-    rounded = js_round(F.col("share"))
-    return monthly.withColumn("delta", rounded - F.lag(rounded).over(w))
+def mix_trend(runs: DataFrame, date: str, category: str, counts: Sequence[str]) -> DataFrame:
+    """(period, category, share, delta) of one brand: its categories' mean share of the range in each of the last months, the leading ones of the newest month, with the move in points of the rounded share.
+
+    runs: a row per run and category with the category's count and the run's product count, the two columns of counts; a run without the category has a row with 0.
+    """
+    n, total = counts
+    per = runs.groupBy(period(F.col(date), "month").alias("period"), category).agg(F.avg(F.col(n) / F.col(total)).alias("share"))
+    months = per.select("period").distinct().orderBy(F.desc("period")).limit(TREND_MONTHS)
+    kept = per.join(F.broadcast(months), "period", "left_semi")
+    newest = months.agg(F.max("period").alias("period"))
+    leading = kept.join(F.broadcast(newest), "period", "left_semi").orderBy(F.desc("share"), category).limit(TREND_CATEGORIES).select(category)
+    rounded = js_round(100 * F.col("share"))
+    return kept.join(F.broadcast(leading), category, "left_semi").withColumn("delta", rounded - F.lag(rounded).over(Window.partitionBy(category).orderBy("period"))).select("period", category, "share", "delta")
 
 
 def freshness(df: DataFrame, latest_any: DataFrame, date: str, key: str) -> DataFrame:

@@ -19,6 +19,19 @@ from vitrine.operators import history
 FILLER = frozenset("the a an is are was were on in at of for to and or who what when which did does do has have had how much any sale offer offers discount price prices now today week month they their with deepest biggest since last this".split())
 ANSWER = "topic string, brand string, value string, on_date date, source string"
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+#: The wording of each intent, and where a question names its subject. Fixed values.
+INTENTS = {
+    "answers": r"\bai (?:visibility|answers?|assistants?)|share of voice\b",
+    "deepest": r"\b(?:deepest|biggest|largest|highest|best)\b.*\b(?:discount|reduction|sale)\b|\bdiscounting (?:the )?most\b",
+    "who": r"\bwho(?:'s| is| are| was| were| has| had)?\b|\bwhich brands?\b",
+    "on_sale": r"\bon sale\b|\brunning (?:a |an )?(?:sale|offer|promotion)\b|\bdiscounting\b|\boffer\b",
+    "when": r"\bwhen did\b|\bwhen was\b|\btimeline\b|\bhow long\b|\bsince when\b",
+    "hero": r"\bhero\b|\bheadline\b|\bbanner\b|\bhomepage message\b",
+    "price": r"\bprices?\b|\bpricing\b|\bcost\b|\bhow much\b|\bmedian\b|\bexpensive\b|\bcheap",
+    "change": r"\bchange(?:d)?\b|\brewrote\b|\bupdate(?:d)?\b",
+    "sale": r"\bsale\b|\boffer\b|\bdiscount\b",
+}
+SUBJECT = r"(?:was|is|are|were|did|does|has|about)\s+([a-z][a-z&' .-]{2,30}?)(?:'s)?\s+(?:on sale|running|discount|sale|offer|hero|price|prices|doing)"
 #: Edits allowed for a word, by its length: up to four letters, up to seven, longer. Fixed values.
 EDITS = ((4, 1), (7, 2), (99, 3))
 
@@ -131,8 +144,10 @@ class Ask:
         if span is None:
             return _answer(history.latest(rows, ["slug"], self.order), "offer", F.coalesce("headline_offer", F.lit("no offer")), "headline_offer", self.date)
         on = F.coalesce(F.col("headline_offer"), F.lit("")) != ""
-        per = rows.groupBy("brand").agg(F.count(F.lit(1)).alias("n"), F.count_if(on).alias("k"), F.max(self.date).alias(self.date))
-        return _answer(per, "offer", F.concat_ws(" of ", F.col("k").cast("string"), F.col("n").cast("string")), "headline_offer", self.date)
+        when = F.when(on, F.col(self.date))
+        per = rows.groupBy("slug").agg(F.max("brand").alias("brand"), F.count(F.lit(1)).alias("n"), F.count_if(on).alias("k"), F.array_sort(F.collect_set(F.when(on, F.col("headline_offer")))).alias("offers"), F.min(when).alias("first"), F.max(when).alias("last"), F.max(self.date).alias(self.date))  # a brand's distinct offers in a span
+        evidence = F.concat_ws("; ", F.concat_ws(" of ", F.col("k").cast("string"), F.col("n").cast("string")), F.array_join("offers", " | "), F.concat_ws(" to ", F.col("first").cast("string"), F.col("last").cast("string")))
+        return _answer(per, "offer", evidence, "headline_offer", self.date)
 
     def sale_timeline(self, slug: str, last: int = 6) -> DataFrame:
         moves = history.sale_transitions(history.latest(self.ok.filter(F.col("slug") == slug), ["slug", self.date], self.order), ["brand"], self.date)
@@ -172,27 +187,34 @@ class Ask:
         """The first intent that the question's wording fits."""
         q = norm(question)
         newest = self.ok.agg(F.max(self.date)).first()[0]
-        if newest is None:
+        if newest is None or not q:
             return self.spark.createDataFrame([], ANSWER)
         span = date_range(question, newest)
         brand, _ = match_brand(question, self.brands)
-        if re.search(r"share of voice|visib|chatbot|assistant|\bai\b", q):
+        says = {k: bool(re.search(p, q)) for k, p in INTENTS.items()}
+        if says["answers"]:
             return self.share_of_voice(brand.slug if brand else None)
-        if re.search(r"deepest|biggest|largest|highest discount|steepest", q):
+        if says["deepest"]:
             return self.deepest(span)
-        if brand is None and re.search(r"\bwho\b|which brands|anyone|whose", q):
-            return self.who_on_sale(span)
-        if brand is not None:
-            if re.search(r"when did|start|stop|since when|end(?:ed)? (?:its|the|their)? ?sale|timeline|history", q):
-                return self.hero_change(brand.slug) if re.search(r"hero|message|headline|banner", q) else self.sale_timeline(brand.slug)
-            if re.search(r"hero|message|banner|saying", q):
-                return self.hero_change(brand.slug) if "change" in q else self.hero(brand.slug, span)
-            if re.search(r"price|cost|expensive|cheap", q):
-                return self.price(brand.slug, span)
-            if re.search(r"sale|offer|discount|promo|% off", q):
-                return self.offer_status(brand.slug, span)
-            return self.snapshot(brand.slug)
-        named = re.search(r"\b(?:is|did|does|has|was|for|about)\s+([\w&' -]{3,40}?)(?:\s+(?:on|have|having|running|start|stop|change|end)\b|[?.]|$)", norm(question))
-        near = closest_brand(named[1], self.brands) if named else None
-        note = f"unknown brand; nearest: {near.name}" if near else "unknown question"
-        return self.spark.createDataFrame([("unknown", near.name if near else None, note, None, "roster")], ANSWER)
+        if brand is None:
+            unknown = None if says["who"] and says["on_sale"] else named_unknown(question)
+            if unknown is None and says["on_sale"]:
+                return self.who_on_sale(span)
+            near = closest_brand(unknown, self.brands) if unknown else None
+            note = f"unknown brand; nearest: {near.name}" if near else "unknown brand" if unknown else "unknown question"
+            return self.spark.createDataFrame([("unknown", near.name if near else None, note, None, "roster")], ANSWER)
+        if says["when"] and says["hero"]:
+            return self.hero_change(brand.slug)
+        if says["when"] and (says["sale"] or says["change"]):
+            return self.sale_timeline(brand.slug)
+        if says["hero"]:
+            return self.hero(brand.slug, span)
+        if says["price"]:
+            return self.price(brand.slug, span)
+        return self.offer_status(brand.slug, span) if says["on_sale"] else self.snapshot(brand.slug)
+
+
+def named_unknown(question: str) -> str | None:
+    """What a question names where a brand would stand, if it does."""
+    m = re.search(SUBJECT, norm(question))
+    return m[1].strip() if m else None

@@ -6,13 +6,15 @@ storefront, day); brand-level views take each brand's newest record of any store
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vitrine.functions import colours, html, page, prices
-from vitrine.operators import catalogue, digest, gaps, history, mentions, views
+from vitrine.operators import catalogue, digest, gaps, history, mentions, tables, views
 from vitrine.plans.ask import Ask
-from vitrine.sources.tables import table
+from vitrine.sources.tables import register_views, table
 
 PLACE, DAY, ORDER = ["slug", "storefront"], "capture_date", ["capture_date", "captured_at", "capture_id"]
 PAY_LATER = ("Instalpay", "PayLater", "SplitThree")
@@ -77,8 +79,13 @@ def pages(spark: SparkSession, d: str) -> DataFrame:
     c = history.successful(records(spark, d)).filter("hero_message IS NOT NULL AND seo.title IS NOT NULL")
     e = lambda x: F.replace(F.replace(F.replace(F.coalesce(x, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     items = F.array_join(F.transform(F.coalesce("menu", F.array().cast("array<string>")), lambda m: F.concat(F.lit("<li><a href='/m'>"), e(m), F.lit("</a>"))), "")
+    none = F.array().cast("array<string>")
+    pictures = F.array_join(F.transform(F.coalesce("offers", none), lambda o: F.concat(F.lit("<img src='/banner.jpg' alt='"), F.replace(e(o), F.lit("'"), F.lit("&#39;")), F.lit("'>"))), "")
+    heads = F.array_join(F.transform(F.coalesce("delivery", none), lambda x: F.concat(F.lit("<h2>"), e(x), F.lit("</h2>"))), "")
+    form = F.lit("<form><label>Mail <input type='email'></label><input id='q'><label for='q'>Search</label><textarea></textarea><button>Go</button></form>")
+    prices_of = F.concat(F.lit('<script>{"title":"Bag","price":"'), F.coalesce(F.col("prices.price_min").cast("string"), F.lit("0")), F.lit('"}</script>'))
     copy = F.array_join(F.concat(F.coalesce("offers", F.array().cast("array<string>")), F.coalesce("delivery", F.array().cast("array<string>"))), ". ")
-    made = F.concat(F.lit("<html lang='en'><head><title>"), e(F.col("seo.title")), F.lit("</title></head><body><header><nav><ul>"), items, F.lit("</ul></nav></header><main><h1>"), e(F.col("hero_message")), F.lit("</h1><p>"), e(copy), F.lit("</p></main><footer><a href='/delivery'>Delivery</a><a href='/returns'>Returns</a></footer></body></html>"))
+    made = F.concat(F.lit("<html lang='en'><head><title>"), e(F.col("seo.title")), F.lit("</title></head><body><header><nav><ul>"), items, F.lit("</ul></nav></header><main><h1>"), e(F.col("hero_message")), F.lit("</h1><p>"), e(copy), F.lit("</p><h2>Offers</h2>"), pictures, heads, form, prices_of, F.lit("</main><footer><a href='/delivery'>Delivery</a><a href='/returns'>Returns</a></footer></body></html>"))
     return c.select("capture_id", "url", made.alias("html"))
 
 
@@ -183,9 +190,23 @@ _RULES = ("sale_started", "sale_ended", "discount", "hero_changed", "code_added"
 _SEQ = "CAST(row_number() OVER (PARTITION BY slug, storefront, capture_date ORDER BY CASE " + " ".join(f"WHEN event LIKE '{r}%' THEN {i}" for i, r in enumerate(_RULES)) + " END, detail) - 1 AS INT) AS seq"
 
 
-@query("e12_capped_timeline", _STATE + f", s AS (SELECT *, {_SEQ} FROM e) SELECT * FROM s ORDER BY capture_date DESC, slug DESC, storefront DESC, seq LIMIT 400", ("capture_date",))
+_ALL_EVENTS = _STATE + f""", s AS (SELECT *, {_SEQ} FROM e), {RUNS}, u AS (SELECT * FROM s UNION ALL SELECT slug, storefront, snap_date, 'products_added', CAST(new_count AS VARCHAR), 1000 FROM runs WHERE ok AND NOT first_seen AND new_count >= 2),
+top AS (SELECT * FROM u ORDER BY capture_date DESC, slug DESC, storefront DESC, seq LIMIT 400)"""
+
+
+def _all_events(s, d):
+    added = history.products_added(catalogue_runs(s, d)).select(*PLACE, F.col("snap_date").alias(DAY), F.lit(1000).alias("seq"), F.lit("products_added").alias("event"), F.col("new_count").cast("string").alias("detail"))
+    return history.capped_timeline(_timeline(s, d).unionByName(added), PLACE, DAY)
+
+
+@query("e12_capped_timeline", _ALL_EVENTS + " SELECT * FROM top", ("capture_date",))
+def _(s, d):
+    return _all_events(s, d)
+
+
+@query("v31_recent_changes", _ALL_EVENTS + ", v AS (SELECT * FROM top ORDER BY capture_date DESC, slug DESC, storefront DESC, seq LIMIT 80) SELECT *, CAST(row_number() OVER (PARTITION BY capture_date ORDER BY slug DESC, storefront DESC, seq) AS INT) AS nth FROM v", ("capture_date",))
 def _(s, d):
-    return history.capped_timeline(_timeline(s, d), PLACE, DAY)
+    return tables.recent_changes(_all_events(s, d), DAY, PLACE)
 
 
 @query("e13_sale_transitions", f"""WITH {CAP}, t AS (SELECT slug, storefront, capture_date, coalesce(headline_offer, '') AS headline, lag(coalesce(headline_offer, '')) OVER (PARTITION BY slug, storefront ORDER BY capture_date) AS b FROM ok)
@@ -194,9 +215,9 @@ def _(s, d):
     return history.sale_transitions(records(s, d), PLACE, DAY)
 
 
-@query("c14_catalogue_runs", f"WITH {RUNS} SELECT * FROM runs", ("snap_date",))
+@query("c14_catalogue_runs", f"WITH {RUNS}, q AS (SELECT slug, storefront, snap_date, array_to_string(list_slice(list_sort(list_filter(cur, lambda x: NOT list_contains(base, x))), 1, 8), '|') AS new_samples FROM b WHERE cur IS NOT NULL AND base IS NOT NULL) SELECT runs.*, q.new_samples FROM runs LEFT JOIN q USING (slug, storefront, snap_date)", ("snap_date",))
 def _(s, d):
-    return catalogue_runs(s, d).drop("new_samples")
+    return catalogue_runs(s, d).withColumn("new_samples", F.array_join("new_samples", "|"))
 
 
 @query("c17_run_summary", f"WITH {RUNS} SELECT snap_date, count(*) FILTER (ok) AS n_ok, CAST(sum(new_count) AS BIGINT) AS n_new FROM runs GROUP BY 1", ("snap_date",))
@@ -246,9 +267,23 @@ def _(s, d):
     return _monthly(s, d)
 
 
-@query("v24_mix_trend", f"WITH {_MONTHLY} SELECT *, CAST(floor(share + 0.5) - lag(floor(share + 0.5)) OVER (PARTITION BY category ORDER BY period) AS BIGINT) AS delta FROM m")
+_TREND = f"""one AS (SELECT * FROM catalogue_snapshot QUALIFY row_number() OVER (PARTITION BY slug, storefront, snap_date ORDER BY captured_at DESC, snapshot_id DESC) = 1),
+r AS (SELECT slug, snap_date, list_distinct(flatten(list(handles))) AS hs FROM one WHERE ok AND handles IS NOT NULL AND slug IN (SELECT slug FROM brand_list WHERE is_self) GROUP BY 1, 2),
+hr AS (SELECT slug, snap_date, unnest(hs) AS handle FROM r), cl AS ({_CATS}),
+c AS (SELECT r.snap_date, k.category, len(r.hs) AS total, count(cl.handle) AS n FROM r CROSS JOIN (VALUES {", ".join(f"('{x}')" for x in TAXONOMY)}) k(category) LEFT JOIN cl ON cl.snap_date = r.snap_date AND cl.category = k.category GROUP BY ALL),
+m AS (SELECT strftime(snap_date, '%Y-%m') AS period, category, avg(n / total) AS share FROM c GROUP BY 1, 2), w AS (SELECT * FROM m WHERE period IN (SELECT DISTINCT period FROM m ORDER BY 1 DESC LIMIT 6)),
+l AS (SELECT category FROM w WHERE period = (SELECT max(period) FROM w) ORDER BY share DESC, category LIMIT 8)"""
+
+
+@query("v24_mix_trend", f"WITH {_TREND} SELECT period, category, share, CAST(floor(100 * share + 0.5) - lag(floor(100 * share + 0.5)) OVER (PARTITION BY category ORDER BY period) AS BIGINT) AS delta FROM w WHERE category IN (SELECT category FROM l)")
 def _(s, d):
-    return views.trend_change(_monthly(s, d), "category")
+    """The own brand's range by month; a run is a date's handles of all its storefronts."""
+    good = snapshots(s, d).filter("ok AND handles IS NOT NULL").join(F.broadcast(brands(s, d).filter("is_self").select("slug")), "slug", "left_semi")
+    run = good.groupBy("slug", "snap_date").agg(F.array_distinct(F.flatten(F.collect_list("handles"))).alias("handles"))  # one brand's storefronts on a date
+    sizes = run.select("snap_date", F.size("handles").alias("total"), F.explode(F.array(*[F.lit(c) for c in TAXONOMY])).alias("category"))
+    counts = catalogue.classified(run.select("snap_date", F.explode("handles").alias("handle")), "handle", TAXONOMY).groupBy("snap_date", "category").agg(F.count(F.lit(1)).alias("n"))
+    rows = sizes.join(counts, ["snap_date", "category"], "left").fillna(0, ["n"])
+    return views.mix_trend(rows, "snap_date", "category", ("n", "total"))
 
 
 def _gaps(s, d):
@@ -262,11 +297,21 @@ def _(s, d):
     return _gaps(s, d)
 
 
-@query("o01_promo_gap", f"""WITH {LATEST}, p AS (SELECT count(*) AS n, count(*) FILTER (coalesce(headline_offer, '') <> '') AS k, avg(nullif(max_discount_pct, 0)) AS m FROM latest WHERE NOT coalesce(is_self, false)),
-me AS (SELECT coalesce(headline_offer, '') AS h, coalesce(max_discount_pct, 0) AS pct FROM latest WHERE is_self LIMIT 1)
-SELECT CASE WHEN h = '' AND k >= greatest(2, n // 3) THEN 'promo_absent' ELSE 'promo_shallow' END AS kind FROM me, p WHERE (h = '' AND k >= greatest(2, n // 3)) OR (pct <> 0 AND pct < m - 10)""")
+@query("o01_promo_gap", f"""WITH {LATEST}, f AS (SELECT slug, coalesce(headline_offer, '') AS h, coalesce(max_discount_pct, 0) AS pct FROM latest),
+x AS (SELECT a.slug, any_value(a.h) AS h, any_value(a.pct) AS pct, count(*) AS n, count(*) FILTER (b.h <> '') AS k, avg(nullif(b.pct, 0)) AS m FROM f a JOIN f b ON a.slug <> b.slug GROUP BY 1)
+SELECT slug, CASE WHEN h = '' AND k >= greatest(2, n // 3) THEN 'promo_absent' ELSE 'promo_shallow' END AS kind FROM x WHERE (h = '' AND k >= greatest(2, n // 3)) OR (pct <> 0 AND pct < m - 10)""")
 def _(s, d):
-    return gaps.opportunities(newest(s, d), bnpl=PAY_LATER).filter("kind IN ('promo_absent', 'promo_shallow')").select("kind")
+    """The two promotion rules with each brand in turn as the own one, so that both fire."""
+    f = gaps.facts(newest(s, d), PAY_LATER)
+    on, pct = (F.col("headline") != "").cast("int"), F.when(F.col("pct") != 0, F.col("pct"))
+    # the pack without a brand: totals less its own part
+    total = f.agg(F.count(F.lit(1)).alias("n"), F.sum(on).alias("k"), F.sum(pct).alias("s"), F.count(pct).alias("c"))
+    x = f.crossJoin(F.broadcast(total))  # one row
+    others, least = F.col("k") - on, F.greatest(F.lit(2), F.floor((F.col("n") - 1) / 3))
+    mean = F.try_divide(F.col("s") - F.coalesce(pct, F.lit(0)), F.col("c") - F.when(pct.isNotNull(), 1).otherwise(0))
+    absent = (F.col("headline") == "") & (others >= least)
+    kind = F.when(absent, "promo_absent").when((F.col("pct") != 0) & (F.col("pct") < mean - gaps.DISCOUNT_BEHIND), "promo_shallow")
+    return x.select("slug", kind.alias("kind")).filter("kind IS NOT NULL")
 
 
 @query("d01_anchors", f"WITH {CAP} SELECT max(capture_date) AS today, coalesce((SELECT max(capture_date) FROM cap WHERE capture_date <= (SELECT max(capture_date) FROM cap) - 7), min(capture_date)) AS prior FROM cap", ("today", "prior"))
@@ -313,13 +358,13 @@ def _(s, d):
     return views.freshness(rows, history.latest(rows, ["slug"], ORDER), DAY, "slug")
 
 
-_SEO = "CAST(CASE WHEN length(seo.title) BETWEEN 50 AND 62 THEN 30 WHEN length(seo.title) > 0 THEN 15 ELSE 0 END + CASE WHEN length(seo.meta_description) BETWEEN 120 AND 160 THEN 30 WHEN length(seo.meta_description) > 0 THEN 15 ELSE 0 END + CASE WHEN seo.h1_count >= 1 THEN 20 ELSE 0 END + CASE WHEN coalesce(seo.canonical, '') <> '' THEN 20 ELSE 0 END AS DOUBLE)"
+_SEO = "CAST(CASE WHEN length(seo.title) BETWEEN 50 AND 62 THEN 30 WHEN length(seo.title) > 0 THEN 15 ELSE 0 END + CASE WHEN length(seo.meta_description) BETWEEN 120 AND 160 THEN 30 WHEN length(seo.meta_description) > 0 THEN 15 ELSE 0 END + CASE WHEN seo.h1_count >= 1 THEN 20 ELSE 0 END AS DOUBLE)"
 for _grain in ("week", "month", "quarter"):
     for _metric in views.METRICS:
         Q[f"v28_{_metric}_{_grain}"] = lambda s, d, g=_grain, m=_metric: views.period_metric(history.successful(records(s, d)), ["slug"], DAY, m, g)
     _label = {"week": "strftime(capture_date, '%G-W%V')", "month": "strftime(capture_date, '%Y-%m')", "quarter": "year(capture_date) || '-Q' || quarter(capture_date)"}[_grain]
     for _metric, _v in {"access": "CAST(accessibility_score AS DOUBLE)", "promo": "CASE WHEN coalesce(headline_offer, '') <> '' THEN 100.0 ELSE 0.0 END", "discount": "CAST(coalesce(max_discount_pct, 0) AS DOUBLE)", "seo": _SEO}.items():
-        SQL[f"v28_{_metric}_{_grain}"] = f"WITH {CAP}, p AS (SELECT slug, {_label} AS period, avg({_v}) AS value FROM ok GROUP BY 1, 2) SELECT * FROM p WHERE period IN (SELECT DISTINCT period FROM p ORDER BY 1 DESC LIMIT 8)"
+        SQL[f"v28_{_metric}_{_grain}"] = f"WITH {CAP}, p AS (SELECT slug, {_label} AS period, avg({_v}) AS value FROM ok GROUP BY 1, 2) SELECT * FROM p WHERE period IN (SELECT DISTINCT period FROM p ORDER BY 1 DESC LIMIT {views.PERIODS_SHOWN[_grain]})"
 
 
 @query("v06_overview", f"""WITH {CAP} SELECT count(*) AS n, count(*) FILTER (coalesce(headline_offer, '') <> '') AS n_on_sale, CAST(median(max_discount_pct) AS DOUBLE) AS median_discount, max(max_discount_pct) AS max_discount,
@@ -353,9 +398,12 @@ def _(s, d):
     return views.brand_words(newest(s, d), "slug")
 
 
-@query("v16_gallery", f"WITH {CAP} SELECT slug, storefront, capture_date FROM cap WHERE date_diff('day', capture_date, (SELECT max(capture_date) FROM cap)) BETWEEN 7 AND 13", ("capture_date",))
+@query("v16_gallery", f"""WITH {CAP}, g AS (SELECT slug, storefront, capture_date, date_diff('day', capture_date, (SELECT max(capture_date) FROM cap)) AS age FROM cap)
+SELECT 'week' AS bucket, slug, storefront, capture_date FROM g WHERE age < 7 UNION ALL SELECT 'lastweek', slug, storefront, capture_date FROM g WHERE age BETWEEN 7 AND 13 UNION ALL SELECT 'month', slug, storefront, capture_date FROM g WHERE age < 30 UNION ALL SELECT 'all', slug, storefront, capture_date FROM g""", ("capture_date",))
 def _(s, d):
-    return views.gallery(records(s, d), DAY, "lastweek").select(*PLACE, DAY)
+    rows = records(s, d).select(*PLACE, DAY)
+    each = [views.gallery(rows, DAY, b).select(F.lit(b).alias("bucket"), *PLACE, DAY) for b in ("week", "lastweek", "month", "all")]
+    return each[0].unionByName(each[1]).unionByName(each[2]).unionByName(each[3])
 
 
 @query("v17_price_bands", f"WITH {LATEST} SELECT slug, prices.price_min AS low, prices.price_median AS mid, prices.price_max AS high FROM latest WHERE prices.price_median IS NOT NULL")
@@ -397,13 +445,13 @@ def _(s, d):
 
 
 @query("a03_share_of_voice", f"""WITH {MENTIONS}, s AS (SELECT slug, count(*) AS mentions, avg(rank) AS r, sum(1 / rank) AS points FROM men GROUP BY 1), n AS (SELECT count(*) AS n FROM aio),
-x AS (SELECT slug, coalesce(mentions, 0) AS mentions, round(coalesce(mentions, 0) / n, 3) AS visibility, round(r, 2) AS avg_rank, round(coalesce(points, 0) / sum(points) OVER (), 3) AS sov FROM brand_list LEFT JOIN s USING (slug), n) SELECT * FROM x""")
+x AS (SELECT slug, coalesce(mentions, 0) AS mentions, n AS queries, round(coalesce(mentions, 0) / n, 3) AS visibility, round(r, 2) AS avg_rank, round(coalesce(points, 0), 4) AS points, round(coalesce(points, 0) / sum(points) OVER (), 3) AS sov FROM brand_list LEFT JOIN s USING (slug), n) SELECT * FROM x""")
 def _(s, d):
     return voice_scores(s, d)
 
 
 @query("a05_leaders", f"""WITH {MENTIONS}, s AS (SELECT slug, count(*) AS mentions, avg(rank) AS r, sum(1 / rank) AS points FROM men GROUP BY 1), n AS (SELECT count(*) AS n FROM aio),
-x AS (SELECT slug, coalesce(mentions, 0) AS mentions, round(coalesce(mentions, 0) / n, 3) AS visibility, round(r, 2) AS avg_rank, round(coalesce(points, 0) / sum(points) OVER (), 3) AS sov FROM brand_list LEFT JOIN s USING (slug), n) SELECT * FROM x ORDER BY sov DESC, slug LIMIT 5""")
+x AS (SELECT slug, coalesce(mentions, 0) AS mentions, n AS queries, round(coalesce(mentions, 0) / n, 3) AS visibility, round(r, 2) AS avg_rank, round(coalesce(points, 0), 4) AS points, round(coalesce(points, 0) / sum(points) OVER (), 3) AS sov FROM brand_list LEFT JOIN s USING (slug), n) SELECT * FROM x ORDER BY sov DESC, slug LIMIT 5""")
 def _(s, d):
     return mentions.leaders(voice_scores(s, d))
 
@@ -453,19 +501,60 @@ def _(s, d):
     return _docs(s, d).select("doc_id", page.offer_strength(F.col("text")).alias("strength"))
 
 
-@query("x06_offers")
+_BLANK = r"\s\x{000B}\x{0085}\p{Z}"
+_NORMAL = f"trim(lower(regexp_replace(coalesce(text, ''), '[{_BLANK}]+', ' ', 'g')))"
+_TEXTS = f"t AS (SELECT doc_id, coalesce(text, '') AS raw, {_NORMAL} AS t FROM documents)"
+
+
+def sql_pattern(p: str) -> str:
+    """A pattern as a literal of the checking SQL, whose blanks are ASCII ones unless told."""
+    out, inside = "", False
+    for part in re.findall(r"\\.|[\[\]]|[^\\\[\]]+", p):
+        inside = part == "[" or (inside and part != "]")
+        out += (_BLANK if inside else f"[{_BLANK}]") if part == r"\s" else part
+    return "'" + out.replace("'", "''") + "'"
+
+
+def sql_found(patterns, c: str = "t", group: int = 0) -> str:
+    """All matches in the order of patterns, as a list."""
+    return "flatten([" + ", ".join(f"regexp_extract_all({c}, {sql_pattern(p)}, {group})" for p in patterns) + "])"
+
+
+def sql_distinct(items: str, keep: str = "x <> ''") -> str:
+    """A list's distinct items in order, blanks around them off."""
+    return f"list_filter(list_filter(list_transform({items}, lambda x: trim(x)), lambda x: {keep}), lambda x, i: list_position(list_filter(list_transform({items}, lambda y: trim(y)), lambda x: {keep}), x) = i)"
+
+
+def sql_phrases(patterns, limit: int = 6) -> str:
+    return f"array_to_string(list_slice({sql_distinct(sql_found(patterns))}, 1, {limit}), '|')"
+
+
+def sql_flags(c: str, named) -> str:
+    return "array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches({c}, {sql_pattern(p)}) THEN '{n}' END" for n, p in named.items()) + "], lambda x: x IS NOT NULL), '|')"
+
+
+def sql_group(c: str, p: str, group: int = 1) -> str:
+    return f"nullif(regexp_extract({c}, {sql_pattern(p)}, {group}), '')"
+
+
+def bars(c) -> Column:
+    return F.array_join(c, "|")
+
+
+@query("x06_offers", f"""WITH {_TEXTS}, f AS (SELECT doc_id, {sql_distinct(sql_found(page.OFFERS))} AS found, list_max(list_filter(list_transform(regexp_extract_all(t, '([0-9]{{1,3}})[{_BLANK}]*%', 1), lambda x: CAST(x AS INT)), lambda x: x <= 90)) AS most FROM t)
+SELECT doc_id, array_to_string(list_slice(found, 1, 12), '|') AS offers, coalesce(list_filter(found, lambda x: starts_with(x, 'up to'))[1], most || '% off', found[1]) AS headline_offer, most AS max_discount_pct FROM f""")
 def _(s, d):
-    return _docs(s, d).select("doc_id", page.offers(F.col("text")).alias("o")).select("doc_id", F.to_json("o.offers").alias("offers"), "o.headline_offer", "o.max_discount_pct")
+    return _docs(s, d).select("doc_id", page.offers(F.col("text")).alias("o")).select("doc_id", bars("o.offers").alias("offers"), "o.headline_offer", "o.max_discount_pct")
 
 
-@query("x07_delivery")
+@query("x07_delivery", f"WITH {_TEXTS} SELECT doc_id, {sql_phrases(page.DELIVERY, 8)} AS promises FROM t")
 def _(s, d):
-    return _docs(s, d).select("doc_id", F.to_json(page.delivery(F.col("text"))).alias("promises"))
+    return _docs(s, d).select("doc_id", bars(page.delivery(F.col("text"))).alias("promises"))
 
 
-@query("x08_codes")
+@query("x08_codes", f"""WITH {_TEXTS} SELECT doc_id, array_to_string(list_slice({sql_distinct(sql_found(page.CODES, "raw", 1), "upper(x) NOT IN ('HTTPS', 'HTML', 'CODE', 'THE')")}, 1, 8), '|') AS codes FROM t""")
 def _(s, d):
-    return _docs(s, d).select("doc_id", F.to_json(page.discount_codes(F.col("text"))).alias("codes"))
+    return _docs(s, d).select("doc_id", bars(page.discount_codes(F.col("text"))).alias("codes"))
 
 
 @query("x09_product_mix", "WITH t AS (SELECT doc_id, trim(lower(regexp_replace(coalesce(text, ''), '[\\s\\x{000B}\\x{0085}\\p{Z}]+', ' ', 'g'))) AS t FROM documents), c AS ("
@@ -491,25 +580,67 @@ def _(s, d):
     return _docs(s, d).select("doc_id", page.free_delivery_threshold(F.col("text")).alias("threshold"))
 
 
-@query("x44_trading")
+_OFFER = f"CASE WHEN pct BETWEEN 1 AND 60 THEN pct || '% off' WHEN pct IS NULL AND flat IS NOT NULL THEN '£' || flat || ' off' END"
+_OVER_SQL = sql_group("t", page.FREE_DELIVERY + r"\s*(?:on orders?)?\s*over\s*£\s?(\d{1,4})")
+_FREE = f"CASE WHEN {_OVER_SQL} IS NOT NULL THEN CAST({_OVER_SQL} AS INT) WHEN regexp_matches(t, {sql_pattern(page.FREE_DELIVERY)} || '\\b') THEN 0 END"
+_first = lambda ps: f"({sql_distinct(sql_found(ps))})[1]"
+
+
+@query("x44_trading", f"""WITH {_TEXTS}, l AS (SELECT *, t || ' ' || lower(raw) AS low, CAST(coalesce({sql_group('t', rf"(\d{{1,2}})\s*%\s*off[^.!?]{{0,40}}(?:{page.SIGN_UP})")}, {sql_group('t', rf"(?:{page.SIGN_UP})[^.!?]{{0,40}}?(\d{{1,2}})\s*%\s*off")}) AS INT) AS pct, {sql_group('t', rf"£\s?(\d{{1,3}})\s*off[^.!?]{{0,40}}(?:{page.SIGN_UP})")} AS flat FROM t)
+SELECT doc_id, {sql_flags('low', page.FINANCE)} AS finance, {" OR ".join(f"regexp_matches(low, {sql_pattern(page.FINANCE[x])})" for x in page.PAY_LATER)} AS has_bnpl, {_OFFER} AS email_capture_offer, {_FREE} AS free_delivery_threshold, {sql_phrases(page.SCARCITY)} AS scarcity, {sql_phrases(page.URGENCY)} AS urgency, {sql_phrases(page.MULTIBUY)} AS multibuy,
+{_first(page.GIFT)} AS gift_with_purchase, {_first(page.LOYALTY)} AS loyalty, {_first(page.PERSONAL)} AS personalisation_upsell, regexp_matches(low, {sql_pattern(page.SMS_MARKUP)}) OR regexp_matches(t, {sql_pattern(page.SMS_COPY)}) AS sms_capture,
+coalesce({", ".join(f"CASE WHEN regexp_matches(low, {sql_pattern(p)}) THEN '{n}' END" for n, p in page.CHAT.items())}, CASE WHEN regexp_matches(t, {sql_pattern(page.CHAT_COPY)}) THEN 'copy' END) AS live_chat FROM l""")
 def _(s, d):
-    return _docs(s, d).select("doc_id", F.to_json(page.trading_signals(F.lit(None).cast("string"), F.col("text"))).alias("signals"))
+    """All levers of each document, its text standing for the markup too."""
+    read = _docs(s, d).select("doc_id", page.trading_signals(F.col("text"), F.col("text")).alias("x")).select("doc_id", "x.*")
+    return read.withColumns({f.name: bars(f.name) for f in read.schema.fields if f.dataType.typeName() == "array"})
+
+
+_NAMES, _PRICES = (f"regexp_extract_all(raw, {sql_pattern('(?i)' + page.DELIVERY_OPTION)}, {i})" for i in (1, 2))
+_TITLED = f"array_to_string(list_transform(regexp_extract_all(lower(trim(regexp_replace(z[1], '[{_BLANK}]+', ' ', 'g'))), '[\\p{{L}}]+|[^\\p{{L}}]+'), lambda w: upper(w[1]) || w[2:]), '')"
 
 
-@query("x46_policy_pages")
+@query("x46_policy_pages", f"""WITH {_TEXTS}, o AS (SELECT *, list_transform(list_zip({_NAMES}, {_PRICES}), lambda z: {_TITLED} || ' ' || replace(lower(z[2]), ' ', '')) AS opts,
+CAST(coalesce({sql_group('raw', '(?i)' + page.RETURN_WINDOW, 1)}, {sql_group('raw', '(?i)' + page.RETURN_WINDOW, 2)}) AS INT) AS days FROM t)
+SELECT doc_id, array_to_string(list_slice(list_filter(opts, lambda x, i: list_position(opts, x) = i), 1, 8), '|') AS options, {_FREE} AS free_threshold, regexp_matches(t, 'next[- ]?day|express|same[- ]?day') AS express, lower(regexp_replace({sql_group('raw', '(?i)' + page.CUTOFF)}, '[{_BLANK}]+', '', 'g')) AS express_cutoff, regexp_matches(t, 'click (?:&|and) collect') AS click_collect,
+CASE WHEN days BETWEEN 1 AND 365 THEN days END AS window_days, CASE WHEN regexp_matches(raw, {sql_pattern('(?i)' + page.FREE_RETURNS)}) THEN true WHEN regexp_matches(raw, {sql_pattern('(?i)' + page.PAID_RETURNS)}) THEN false END AS free_returns, regexp_matches(t, '\\bexchanges?\\b') AS exchanges FROM o""")
 def _(s, d):
-    return _docs(s, d).select("doc_id", F.to_json(page.delivery_page(F.col("text"))).alias("delivery"), F.to_json(page.returns_page(F.col("text"))).alias("returns"))
+    read = _docs(s, d).select("doc_id", page.delivery_page(F.col("text")).alias("d"), page.returns_page(F.col("text")).alias("r")).select("doc_id", "d.*", "r.*")
+    return read.withColumn("options", bars(F.transform("options", lambda o: F.concat_ws(" ", o["name"], o["price"]))))
 
 
-@query("x50_reputation")
+@query("x48_structured_ratings", f"""WITH {CAP}, p AS (SELECT capture_id, reputation.rating AS r, reputation.review_count AS n FROM ok WHERE reputation.rating IS NOT NULL), s AS (SELECT *, round(CAST(CAST(r * 2 AS VARCHAR) AS DOUBLE) / 10 * 5, 2) AS rating FROM p)
+SELECT capture_id, CASE WHEN rating > 0 AND rating <= 5 THEN rating END AS rating, CASE WHEN rating > 0 AND rating <= 5 THEN CAST(n AS BIGINT) END AS review_count, 'Feefo' AS platforms, CASE WHEN rating > 0 AND rating <= 5 THEN 'structured' END AS source, CASE WHEN rating > 0 AND rating <= 5 THEN 'high' END AS confidence FROM s""")
 def _(s, d):
-    return _docs(s, d).select("doc_id", F.to_json(page.reputation(F.col("text"), F.col("text"))).alias("reputation"))
+    """Ratings of made-up markup: captured ratings on a scale of ten, beside a smaller blob that must lose."""
+    ok = history.successful(records(s, d)).filter("reputation.rating IS NOT NULL")
+    n = F.coalesce(F.format_number("reputation.review_count", 0), F.lit(""))
+    blob = F.concat(F.lit('<script>feefo</script>{"aggregateRating": {"ratingValue": "'), (F.col("reputation.rating") * 2).cast("string"), F.lit('", "bestRating": 10, "reviewCount": "'), n, F.lit('"}}'))
+    read = ok.select("capture_id", page.reputation(blob, F.lit("")).alias("x")).select("capture_id", "x.*")
+    return read.select("capture_id", "rating", "review_count", bars("platforms").alias("platforms"), "source", "confidence")
 
 
-@query("x31_price_bands")
+_COUNT = f"CAST(replace({sql_group('t', r'(\d[\d,]{1,})\s*\+?\s*(?:reviews|ratings)')}, ',', '') AS BIGINT)"
+_VALUE = f"CAST({sql_group('t', r'(\d(?:\.\d{1,2})?)\s*(?:/\s*5|out of\s*5|stars?\b)')} AS DOUBLE)"
+
+
+@query("x50_reputation", f"""WITH {_TEXTS}, v AS (SELECT doc_id, CASE WHEN {_COUNT} >= 5 AND {_VALUE} BETWEEN 1 AND 5 THEN {_VALUE} END AS rating, CASE WHEN {_COUNT} >= 5 THEN {_COUNT} END AS review_count, {sql_flags('lower(raw)', page.REVIEWS)} AS platforms FROM t)
+SELECT *, coalesce(rating, 0) <> 0 OR coalesce(review_count, 0) <> 0 OR platforms <> '' AS has_reviews, CASE WHEN rating IS NOT NULL OR review_count IS NOT NULL THEN 'text' END AS source, CASE WHEN rating IS NULL THEN NULL WHEN review_count IS NOT NULL THEN 'high' ELSE 'low' END AS confidence FROM v""")
+def _(s, d):
+    read = _docs(s, d).select("doc_id", page.reputation(F.col("text"), F.col("text")).alias("x")).select("doc_id", "x.*")
+    return read.withColumn("platforms", bars("platforms"))
+
+
+_SHOWN_SQL = sql_pattern(r"£\s?([0-9]{1,4}(?:\.[0-9]{2})?)")
+
+
+@query("x31_price_bands", f"""WITH {_TEXTS}, z AS (SELECT doc_id, list_zip(regexp_extract_all(raw, {_SHOWN_SQL}, 1), regexp_split_to_array(raw, {_SHOWN_SQL})) AS z FROM t),
+k AS (SELECT doc_id, list_sort(list_filter(list_transform(list_filter(z, lambda x: x[1] IS NOT NULL AND NOT regexp_matches(lower(regexp_replace(right(x[2], 80), '(?s)^.*[\n\r]', '')), '{"|".join(prices.ADD_ONS)}')), lambda x: CAST(x[1] AS DOUBLE)), lambda p: p BETWEEN 1 AND 2000)) AS p FROM z)
+SELECT doc_id, len(p) AS count, p[1] AS min, round_even((p[(len(p) + 1) // 2] + p[len(p) // 2 + 1]) / 2, 2) AS median, p[-1] AS max, array_to_string(p[1:30], '|') AS sample FROM k""")
 def _(s, d):
     scanned = _docs(s, d).select("doc_id", prices.scan(F.col("text"), F.col("text")).alias("p"))
-    return scanned.select("doc_id", F.to_json(page.home_band(prices.home_prices(F.col("p")))).alias("band"))
+    band = scanned.select("doc_id", page.home_band(prices.home_prices(F.col("p"))).alias("b")).select("doc_id", "b.*").drop("currency")
+    return band.withColumn("sample", bars(F.transform("sample", lambda x: x.cast("string"))))
 
 
 _PAGE = f"WITH {CAP}, p AS (SELECT * FROM ok WHERE hero_message IS NOT NULL AND seo.title IS NOT NULL) "
@@ -517,18 +648,21 @@ _PAGE = f"WITH {CAP}, p AS (SELECT * FROM ok WHERE hero_message IS NOT NULL AND
 
 @query("x57_extract_all")
 def _(s, d):
-    """The markup pass and all signals of made-up pages in one select."""
+    """The markup pass and the whole record of made-up pages in one select."""
     p = html.parsed(pages(s, d))
-    text = F.col("page.visible_text")
-    return p.select(
-        "capture_id", page.blocked(F.col("html")).alias("blocked"), html.hero(F.lit(None).cast("string")).alias("hero"), F.to_json("page.menu").alias("menu"), F.to_json(page.offers(text, html.banner_texts())).alias("offers"),
-        F.to_json(html.seo()).alias("seo"), html.accessibility()["score"].alias("access"), F.to_json(page.trading_signals(F.col("html"), text)).alias("trading"), F.col("page.delivery_url").alias("delivery_url"), F.col("page.returns_url").alias("returns_url"),
+    text, markup = F.col("page.visible_text"), F.col("html")
+    scanned = p.withColumn("scan", prices.scan(markup, text))
+    return scanned.select(
+        "capture_id", page.blocked(markup).alias("blocked"), html.hero(F.lit(None).cast("string")).alias("hero"), F.to_json("page.menu").alias("menu"), F.to_json(page.offers(text, html.banner_texts())).alias("offers"), F.to_json(page.delivery(text)).alias("delivery"),
+        F.to_json(page.discount_codes(text)).alias("codes"), F.to_json(page.keywords(text)).alias("keywords"), F.to_json(page.product_mix(text, TAXONOMY)).alias("mix"), F.to_json(page.home_band(prices.home_prices(F.col("scan")))).alias("prices"),
+        F.to_json(html.seo()).alias("seo"), html.accessibility()["score"].alias("access"), F.to_json(page.trading_signals(markup, text)).alias("trading"), F.to_json(page.reputation(markup, text)).alias("reputation"), F.col("page.delivery_url").alias("delivery_url"), F.col("page.returns_url").alias("returns_url"),
+        F.to_json(page.delivery_page(text)).alias("delivery_info"), F.to_json(page.returns_page(text)).alias("returns_info"),
     )
 
 
-@query("x11_seo_counts", _PAGE + "SELECT capture_id, 1 AS h1_count, coalesce(len(menu), 0) + 2 AS n_links, 0 AS n_images FROM p")
+@query("x11_seo_counts", _PAGE + "SELECT capture_id, CASE WHEN trim(hero_message) = '' THEN 0 ELSE 1 END AS h1_count, coalesce(len(menu), 0) + 2 AS n_links, coalesce(len(offers), 0) AS n_images, 1 + coalesce(len(delivery), 0) AS n_h2, 3 AS n_fields FROM p")
 def _(s, d):
-    return html.parsed(pages(s, d)).select("capture_id", F.col("page.n_h1").alias("h1_count"), F.col("page.n_links").alias("n_links"), F.col("page.n_images").alias("n_images"))
+    return html.parsed(pages(s, d)).select("capture_id", F.col("page.n_h1").alias("h1_count"), F.col("page.n_links").alias("n_links"), F.col("page.n_images").alias("n_images"), F.col("page.n_h2").alias("n_h2"), F.round(3 * F.col("page.ratios")[6] + 1).cast("int").alias("n_fields"))
 
 
 @query("x61_nearest_colour", "WITH v AS (SELECT vec_id, CAST(floor(abs(embedding[1]) * 1000) AS BIGINT) % 256 AS r, CAST(floor(abs(embedding[2]) * 1000) AS BIGINT) % 256 AS g, CAST(floor(abs(embedding[3]) * 1000) AS BIGINT) % 256 AS b FROM embeddings), p(i, name, x, y, z) AS (VALUES " + ", ".join(f"({i}, '{n}', {a}, {b}, {c})" for i, (n, (a, b, c)) in enumerate(PALETTE.items())) + ") SELECT vec_id, arg_min(name, ((r-x)*(r-x)+(g-y)*(g-y)+(b-z)*(b-z)) * 100 + i) AS name FROM v, p GROUP BY 1")
@@ -537,10 +671,10 @@ def _(s, d):
     return table(s, d, "embeddings").select("vec_id", colours.nearest(ch(0), ch(1), ch(2), PALETTE).alias("name"))
 
 
-@query("x63_trend_reduce", "WITH t AS (SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1, 2) SELECT event_type, arg_max(n, day) AS latest, round(avg(n), 1) AS mean, CAST(least(13, count(*)) AS INT) AS n_points FROM t GROUP BY 1")
+@query("x63_trend_reduce", "WITH t AS (SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1, 2) SELECT event_type, arg_max(n, day) AS latest, round(avg(n), 1) AS mean, array_to_string((list(n ORDER BY day))[-13:], ' ') AS points FROM t GROUP BY 1")
 def _(s, d):
     daily = table(s, d, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))
-    return views.trend_reduce(daily, "event_type", "day", "n").select("event_type", "latest", "mean", F.size("points").alias("n_points"))
+    return views.trend_reduce(daily, "event_type", "day", "n").select("event_type", "latest", "mean", F.array_join(F.transform("points", lambda x: x.cast("string")), " ").alias("points"))
 
 
 @query("st_weekly_events", "SELECT event_type, CAST(date_trunc('week', ts) AS DATE) AS week, count(*) AS n FROM events GROUP BY 1, 2", ("week",))
@@ -549,4 +683,132 @@ def _(s, d):
     return table(s, d, "events").groupBy("event_type", F.to_date(F.date_trunc("week", "ts")).alias("week")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("v01_brand_index", f"""WITH {CAP}, p AS (SELECT slug, arg_min(brand, (capture_date, captured_at, capture_id)) AS brand, arg_min(coalesce(is_self, false), (capture_date, captured_at, capture_id)) AS own, count(*) AS n_records, count(DISTINCT capture_date) AS n_dates, max(capture_date) AS last_date FROM cap GROUP BY 1)
+SELECT *, CAST(row_number() OVER (ORDER BY own DESC, brand, slug) AS INT) AS place FROM p""", ("last_date",))
+def _(s, d):
+    return tables.brand_index(records(s, d), DAY, ORDER[1:])
+
+
+@query("v01_date_index", f"WITH {CAP} SELECT capture_date, count(*) AS n_records, count(DISTINCT slug) AS n_brands FROM cap GROUP BY 1", ("capture_date",))
+def _(s, d):
+    return tables.date_index(records(s, d), DAY)
+
+
+_ANY = CAP + ", lf AS (SELECT * FROM cap QUALIFY row_number() OVER (PARTITION BY slug ORDER BY (status = 'success') DESC NULLS LAST, capture_date DESC, captured_at DESC, capture_id DESC) = 1)"
+
+
+@query("v08_market_snapshot", f"WITH {_ANY} SELECT slug, brand, hero_message AS hero, nullif(headline_offer, '') AS offer, delivery[1] AS delivery, array_to_string(coalesce(discount_codes, []), ' | ') AS codes, status FROM lf")
+def _(s, d):
+    return tables.market_snapshot(history.latest_or_failed(records(s, d), ["slug"], ORDER))
+
+
+@query("v09_competitor_card", f"""WITH {LATEST}, {SHARES}, nn AS (SELECT slug, category, share, row_number() OVER (PARTITION BY slug ORDER BY share DESC, category) AS place FROM sh), t AS (SELECT *, max(share) OVER (PARTITION BY slug) AS widest FROM nn WHERE place <= 6),
+m AS (SELECT slug, string_agg(category || ' ' || CAST(floor(100 * share / greatest(widest, 0.0001) + 0.5) AS INT), ' | ' ORDER BY place) AS mix FROM t GROUP BY 1)
+SELECT l.slug, l.brand, l.capture_date AS on_date, l.hero_message AS hero, array_to_string(coalesce(l.menu, []), ' | ') AS menu, nullif(l.headline_offer, '') AS offer, l.prices.price_min AS price_low, l.prices.price_median AS price_mid, l.prices.price_max AS price_high, m.mix FROM latest l LEFT JOIN m USING (slug)""", ("on_date",))
+def _(s, d):
+    return tables.competitor_card(newest(s, d), brand_shares(s, d), DAY)
+
+
+_RATE = lambda c, lo, hi: f"CASE WHEN coalesce(length({c}), 0) BETWEEN {lo} AND {hi} THEN 'good' WHEN length({c}) > 0 THEN 'warn' ELSE 'bad' END"
+
+
+@query("v14_seo_table", f"WITH {LATEST} SELECT slug, seo.title AS title, {_RATE('seo.title', 50, 62)} AS title_rating, seo.meta_description AS description, {_RATE('seo.meta_description', 120, 160)} AS description_rating, seo.h1_count AS h1_count, seo.word_count AS word_count, accessibility_score FROM latest")
+def _(s, d):
+    return tables.seo_table(newest(s, d))
+
+
+@query("v15_latest_shot", f"WITH {CAP} SELECT slug, storefront, capture_date, capture_id, status FROM cap WHERE render_ok QUALIFY row_number() OVER (PARTITION BY slug, storefront ORDER BY capture_date DESC, captured_at DESC, capture_id DESC) = 1", ("capture_date",))
+def _(s, d):
+    return tables.latest_shot(records(s, d), PLACE, ORDER, F.col("render_ok")).select(*PLACE, DAY, "capture_id", "status")
+
+
+_OVER = lambda c: f"CASE WHEN {c} = 0 THEN 'free' WHEN {c} IS NOT NULL THEN 'over £' || {c} END"
+
+
+@query("v19_levers", f"WITH {LATEST} SELECT slug, coalesce(trading.has_bnpl, false) AS has_bnpl, array_to_string(coalesce(trading.finance, []), ' | ') AS finance, nullif(trading.email_capture_offer, '') AS sign_up, {_OVER('trading.free_delivery_threshold')} AS free_delivery, array_to_string(list_slice(coalesce(trading.scarcity, []), 1, 2), ' | ') AS scarcity FROM latest")
+def _(s, d):
+    return tables.levers_table(newest(s, d))
+
+
+@query("v19_policies")
+def _(s, d):
+    """The policy tables over each brand's newest delivery and returns pages, read together."""
+    pages_of = table(s, d, "documents").filter("source IN ('delivery_page', 'returns_page') AND slug IS NOT NULL AND text IS NOT NULL")
+    newest_page = history.latest(pages_of, ["slug", "source"], ["fetched_at", "doc_id"])
+    both = newest_page.groupBy("slug").agg(F.array_join(F.array_sort(F.collect_list("text")), "\n").alias("text"))  # two pages a brand
+    return tables.policy_table(both, page.delivery_page(F.col("text")), page.returns_page(F.col("text")))
+
+
+@query("a04_run_records", f"WITH {MENTIONS}, k AS (SELECT item, count(*) AS k FROM men GROUP BY 1), e AS (SELECT run_date, substr(coalesce(answer_text, ''), 1, 600) AS x, k FROM aio LEFT JOIN k ON aio.answer_id = k.item) SELECT run_date, count(*) AS queries_total, count(*) FILTER (x <> '') AS n_answered, CAST(coalesce(sum(k), 0) AS BIGINT) AS n_mentions, coalesce(bool_or(k > 0), false) AS ok, CAST(sum(length(x)) AS BIGINT) AS excerpt_chars FROM e GROUP BY 1", ("run_date",))
+def _(s, d):
+    answers, found = voices(s, d)
+    return mentions.run_records(answers, found, "answer_id", "run_date", "answer_text")
+
+
+@query("s05_answer_log", "SELECT run_date, count(*) AS n FROM aio GROUP BY 1 ORDER BY run_date DESC LIMIT 104", ("run_date",))
+def _(s, d):
+    return history.keep_last(table(s, d, "aio").groupBy("run_date").agg(F.count(F.lit(1)).alias("n")), ["run_date"], history.ANSWER_RUN_CAP)
+
+
+@query("s06_catalogue_log", f"WITH {RUNS} SELECT snap_date, count(*) AS n, count(*) FILTER (ok) AS n_ok FROM runs GROUP BY 1 ORDER BY snap_date DESC LIMIT 400", ("snap_date",))
+def _(s, d):
+    runs = catalogue_runs(s, d).groupBy("snap_date").agg(F.count(F.lit(1)).alias("n"), F.count_if("ok").alias("n_ok"))
+    return history.keep_last(runs, ["snap_date"], history.CATALOGUE_RUN_CAP)
+
+
+def site_files(s, d):
+    """Sitemaps and robots made up from snapshots, one site per storefront and date: an index with a products file and a pages file; every second site names its index in robots."""
+    good = snapshots(s, d).filter("ok AND handles IS NOT NULL").withColumn("site", F.concat_ws("|", "slug", "storefront", F.col("snap_date").cast("string")))
+    base = F.concat(F.lit("https://shop.example/"), F.xxhash64("site").cast("string"))
+    named = F.pmod(F.xxhash64("site"), F.lit(2)) == 0
+    root = F.concat(base, F.when(named, F.lit("/maps/all.xml")).otherwise(F.lit("/sitemap.xml")))
+    entity = lambda x: F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    key = lambda h: F.regexp_replace(F.regexp_replace(h, r"(?s)[?#].*$", ""), r"^.*/(?=[^/]*/*$)|/+$", "")
+    urls = F.array_join(F.transform(F.filter("handles", lambda h: F.trim(key(h)) != ""), lambda h: F.concat(F.lit("<url><loc> "), base, F.lit("/products/"), entity(F.trim(key(h))), F.lit("/?v=1 </loc></url>"))), "")
+    index = F.concat(F.lit("<SitemapIndex><sitemap><loc>"), base, F.lit("/products_1.xml</loc></sitemap><sitemap><loc>"), base, F.lit("/pages.xml</loc></sitemap></SitemapIndex>"))
+    files = F.array(F.struct(root.alias("url"), index.alias("body")), F.struct(F.concat(base, F.lit("/products_1.xml")).alias("url"), F.concat(F.lit("<urlset>"), urls, F.lit("</urlset>")).alias("body")), F.struct(F.concat(base, F.lit("/pages.xml")).alias("url"), F.lit("<urlset><url><loc>https://shop.example/products/not-me</loc></url></urlset>").alias("body")))
+    maps = good.select(F.col("site").alias("slug"), F.explode(files).alias("f")).select("slug", "f.url", "f.body")
+    robots = good.select(F.col("site").alias("slug"), F.concat(base, F.lit("/")).alias("base_url"), F.when(named, F.concat(F.lit("User-agent: *\n SITEMAP : "), root)).otherwise(F.lit("")).alias("body"))
+    return maps, robots
+
+
+_KEYED = r"""k AS (SELECT slug, storefront, snap_date, list_sort(list_distinct(list_filter(list_transform(handles, lambda h: lower(trim(regexp_replace(regexp_replace(h, '[?#].*$', '', 's'), '^.*/([^/]*)/*$', '\1')))), lambda x: x <> ''))) AS hs FROM (
+SELECT * FROM catalogue_snapshot QUALIFY row_number() OVER (PARTITION BY slug, storefront, snap_date ORDER BY captured_at DESC, snapshot_id DESC) = 1) WHERE ok AND handles IS NOT NULL)"""
+
+
+@query("c10_collect", f"WITH {_KEYED} SELECT slug || '|' || storefront || '|' || snap_date AS site, len(hs) > 0 AS ok, CASE WHEN len(hs) = 0 THEN 'no product urls' END AS error, CASE WHEN len(hs) > 0 THEN array_to_string(list_slice(hs, 1, 8000), '|') END AS handles FROM k")
+def _(s, d):
+    """Handles that the made-up sites' sitemaps list: what was put in must come out."""
+    return catalogue.collect(*site_files(s, d)).select(F.col("slug").alias("site"), "ok", "error", F.array_join("handles", "|").alias("handles"))
+
+
+@query("c16_build", f"""WITH {_KEYED}, b AS (SELECT *, lag(hs) OVER (PARTITION BY slug, storefront ORDER BY snap_date) AS base FROM k WHERE len(hs) > 0)
+SELECT slug || '|' || storefront AS shop, CAST(snap_date AS VARCHAR) AS snap_date, base IS NULL AS first_seen, len(hs) AS product_count, CASE WHEN base IS NULL THEN 0 ELSE len(list_filter(hs, lambda x: NOT list_contains(base, x))) END AS new_count, CASE WHEN base IS NULL THEN 0 ELSE len(list_filter(base, lambda x: NOT list_contains(hs, x))) END AS removed_count FROM b""")
+def _(s, d):
+    """Collection fed into runs: each site is one storefront on one date."""
+    got = catalogue.collect(*site_files(s, d))
+    part = F.split("slug", r"\|")
+    fed = got.filter("ok").select(F.concat_ws("|", part[0], part[1]).alias("shop"), part[2].alias("snap_date"), "ok", "handles")
+    return catalogue.runs(fed, ["shop"], "snap_date").select("shop", "snap_date", "first_seen", "product_count", "new_count", "removed_count")
+
+
+@query("c08_sitemap_parts", "SELECT 1 AS n, 'https://x.example/a?b=1&c=2|https://x.example/d' AS locs, 'https://x.example/d' AS images, true AS is_index, true AS is_sitemap, 'https://x.example/m.xml|https://x.example/n.xml' AS roots, true AS products, true AS product_url, false AS other_url")
+def _(s, d):
+    """The parsing steps of a sitemap walk on one literal page."""
+    xml = F.lit("<SITEMAPINDEX><urlset><url><loc>\n https://x.example/a?b=1&amp;c=2 </loc></url><URL><LOC>https://x.example/d</LOC><image:image/></URL>")
+    robots = F.lit("Allow: /\nSitemap: https://x.example/m.xml\n  sitemap:https://x.example/n.xml\nSitemap: https://x.example/m.xml")
+    bar = lambda c: F.array_join(c, "|")
+    return s.range(1).select(
+        F.lit(1).alias("n"), bar(catalogue.locs(xml)).alias("locs"), bar(catalogue.urls_with_images(xml)).alias("images"), catalogue.is_index(xml).alias("is_index"), catalogue.is_sitemap(xml).alias("is_sitemap"), bar(catalogue.sitemaps_of_robots(robots)).alias("roots"),
+        catalogue.is_product_sitemap(F.lit("https://x.example/sitemap_Products_1.xml")).alias("products"), catalogue.is_product_url(F.lit("https://x.example/en/products/tote?x=1")).alias("product_url"), catalogue.is_product_url(F.lit("https://x.example/pages/products.html")).alias("other_url"),
+    )
+
+
+@query("s14_views", "SELECT (SELECT count(*) FROM captures) AS n_captures, (SELECT count(*) FROM aio) AS n_answers, 0 AS n_missing")
+def _(s, d):
+    """Tables as views; one that isn't there is an empty view."""
+    register_views(s, d, {"captures": "capture_id long", "aio": "answer_id long", "no_such_table": "x long"})
+    return s.sql("SELECT (SELECT count(*) FROM captures) AS n_captures, (SELECT count(*) FROM aio) AS n_answers, CAST((SELECT count(*) FROM no_such_table) AS INT) AS n_missing")
+
+
 QUERIES = Q

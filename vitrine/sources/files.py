@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from vitrine.operators.history import keep_last, upsert
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
@@ -32,7 +32,7 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType | str, lines:
     """A JSON file, array or lines. A missing path gives no rows; unreadable records are left out. Other faults of the path are raised."""
     kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     kept = [f for f in kind.fields if f.name != "_bad"]
-    if not _exists(spark, path):
+    if not exists(spark, path):
         return spark.createDataFrame([], T.StructType(kept))
     read = spark.read.schema(T.StructType([*kept, T.StructField("_bad", T.StringType())])).option("multiLine", not lines).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad")
     return read.json(path).filter("_bad IS NULL").drop("_bad")
@@ -54,10 +54,10 @@ def _pending(path: str) -> str:
 def finish_pending(spark: SparkSession, path: str, date: str) -> None:
     """Completes a merge that was interrupted: whole pending partitions replace the store's, half-written ones are thrown away."""
     staged = _pending(path)
-    if _exists(spark, f"{staged}/_SUCCESS"):
+    if exists(spark, f"{staged}/_SUCCESS"):
         write_by_date(spark.read.parquet(f"{staged}/rows"), path, date)
         _delete(spark, f"{staged}/_SUCCESS")
-    if _exists(spark, staged):
+    if exists(spark, staged):
         _delete(spark, staged)
 
 
@@ -100,15 +100,15 @@ def append_log(spark: SparkSession, path: str, new: DataFrame, order: Sequence[s
     Written beside the old log and swapped in by renaming; the bound is the log's feature, so it is a small table.
     """
     at = path.rstrip("/")
-    if _exists(spark, f"{at}.next/_SUCCESS") and not _exists(spark, at):
+    if exists(spark, f"{at}.next/_SUCCESS") and not exists(spark, at):
         _rename(spark, f"{at}.next", at)
-    old = spark.read.parquet(at) if _exists(spark, f"{at}/_SUCCESS") else None
+    old = spark.read.parquet(at) if exists(spark, f"{at}/_SUCCESS") else None
     if old is not None and replaces:
         same = [F.col(f"o.{c}").eqNullSafe(F.col(f"n.{c}")) for c in replaces]
         old = old.alias("o").join(new.select(*replaces).distinct().alias("n"), same, "left_anti")
     rows = new if old is None else old.unionByName(new, allowMissingColumns=True)
     keep_last(rows, order, n).coalesce(1).write.mode("overwrite").parquet(f"{at}.next")
-    if _exists(spark, at):
+    if exists(spark, at):
         _delete(spark, at)
     _rename(spark, f"{at}.next", at)
 
