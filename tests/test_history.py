@@ -111,3 +111,30 @@ def test_files(spark, tmp_path):
     for _ in range(2):
         files.upsert_store(spark, store, small, ["slug", "capture_date"], "capture_date", ["n"])
     assert spark.read.parquet(store).count() == 49
+
+
+def test_broadcasts_are_bounded_in_bytes_and_salted_joins_agree(spark):
+    from vitrine import session
+
+    long = spark.createDataFrame([(i, "x" * 1000) for i in range(50)], "k int, v string")
+    assert session.fits_broadcast(long) and not session.fits_broadcast(long, max_bytes=10_000) and not session.fits_broadcast(long, max_rows=49)
+    left = spark.createDataFrame([(1, i) for i in range(100)] + [(77, 0)], "k int, n int")
+    for how in ("inner", "left", "left_anti", "left_semi"):
+        rows = lambda most: sorted(map(tuple, session.lookup_join(left, long, ["k"], how, max_rows=most).collect()), key=str)  # noqa: B023, E731
+        assert rows(1) == rows(1000)
+
+
+def test_checkpoints_need_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from vitrine import session
+
+    class Conf:
+        def get(self, name, default=None):
+            return default
+
+    sc = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077", getConf=Conf)
+    with pytest.raises(ValueError):
+        session.ensure_checkpoint_dir(SimpleNamespace(sparkContext=sc, conf=Conf()))

@@ -66,3 +66,26 @@ def test_ranges_of_dates_flags_and_texts(spark):
         assert (got["flag"]["low"], got["flag"]["high"], got["flag"]["mean"]) == (0.0, 1.0, 0.5)
         assert (got["url"]["low"], got["url"]["length_low"], got["url"]["length_high"], got["url"]["length_mean"]) == (None, 2.0, 5.0, 3.5)
         assert (got["capture_id"]["low"], got["capture_id"]["high"], got["capture_id"]["distinct_estimate"]) == (7.0, 9.0, 3)
+
+
+def test_states_are_kept_and_only_new_loads_profiled(spark, tmp_path):
+    rows = [(i, 1, i % 3 if i % 4 else None, i % 7, "abc", "success") for i in range(60)]
+    first, later = spark.createDataFrame(rows, ROW), spark.createDataFrame(rows + [(100, 1, 2, 5, "x", "failed"), (101, 1, 9, 5, "x", "failed"), (102, 1, None, 5, "x", "failed")], ROW)
+    path, by = str(tmp_path / "states"), ["feed_id", "load_id"]
+    show = lambda s: sorted(map(str, profile.metrics(s).select(*sorted(c for c in profile.metrics(s).columns)).collect()))
+    assert show(profile.update_states(spark, path, first, by, declared())) == show(profile.states(first, by, declared(), sketches=True))
+    # a stored state of an unchanged load is read, not made again: a marked one survives
+    from vitrine.sources.files import read_generation, write_generation
+
+    marked = read_generation(spark, path).withColumn("violations", F.when(F.col("load_id") == 1, F.lit(777)).otherwise(F.col("violations")))
+    write_generation(marked, path)
+    got = profile.update_states(spark, path, later, by, declared())
+    assert {r["violations"] for r in got.filter("load_id = 1").collect()} == {777}
+    assert show(got.filter("load_id IS NULL OR load_id <> 1")) == show(profile.states(later, by, declared(), sketches=True).filter("load_id IS NULL OR load_id <> 1"))
+
+
+def test_domains_of_further_columns(spark):
+    df = spark.createDataFrame([(1, 1, 3, 101, "ftp://x", 5), (2, 1, 3, 50, "https://x.example/a", -1), (3, 1, 3, None, None, None)], "capture_id long, feed_id long, load_id long, accessibility_score int, url string, price_count int")
+    df = df.withColumns({"max_discount_pct": F.lit(5), "headline_offer": F.lit("x"), "status": F.lit("success")})
+    got = {r["column_name"]: r["violations"] for r in profile.states(df, ["load_id"], every_column(df)).collect()}
+    assert (got["accessibility_score"], got["url"], got["price_count"], got["capture_id"]) == (1, 1, 1, 0)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from vitrine.operators import snapshots
 from vitrine.plans.general import handle_key
+from vitrine.sources.files import read_generation
 
 D = [dt.date(2025, 1, d) for d in range(1, 29)]
 
@@ -53,7 +54,7 @@ def test_dictionary_is_kept_between_runs(spark, tmp_path):
     days = [D[0] + dt.timedelta(i) for i in range(90)]
     rows = [(g, d, [f"h{rng.randrange(50)}" for _ in range(20)]) for g in ("a", None) for d in days]
     kept = lambda some: {tuple(r) for r in snapshots.set_changes_kept(spark.createDataFrame(some, "g string, d date, items array<string>"), ["g"], "d", "items", str(tmp_path / "dict")).collect()}
-    read = lambda: {(r["g"], r["_shard"], r["item"]): r["_ord"] for r in snapshots.read_dictionary(spark, str(tmp_path / "dict")).collect()}
+    read = lambda: {(r["g"], r["_shard"], r["item"]): r["_ord"] for r in read_generation(spark, str(tmp_path / "dict")).collect()}
     early = [(g, d, [i for i in items if i < "h3"]) for g, d, items in rows if d < days[40]]
     assert kept(early) == brute(early)
     first = read()

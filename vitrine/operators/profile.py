@@ -17,9 +17,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vitrine.session import checkpointed, lookup_join
+from vitrine.sources.files import read_generation, write_generation
+
 #: lg(k) of the distinct sketches: 2^11 buckets, a relative error of about 2.3 %.
 SKETCH_LGK = 11
 
@@ -78,6 +81,26 @@ def merge_states(parts: DataFrame, by: list[str]) -> DataFrame:
     return parts.groupBy(*by, "column_name", "by_length").agg(*[c.alias(k) for k, c in add.items()])
 
 
+def update_states(spark: SparkSession, path: str, df: DataFrame, by: list[str], specs: Sequence[ColumnSpec], sketches: bool = True) -> DataFrame:
+    """The states of all groups, kept in a folder: only groups that are new, or whose number of rows has changed, are profiled; the others' states are read.
+
+    Finding them reads the group columns alone. Groups are compared null-safe.
+    """
+    kept = read_generation(spark, path)
+    if kept is None:
+        write_generation(states(df, by, specs, sketches), path)
+        return read_generation(spark, path)
+    known = kept.groupBy(*by).agg(F.max("rows").alias("_known")).select(F.struct(*by).alias("_g"), "_known")
+    now = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows")).select(F.struct(*by).alias("_g"), "_rows")
+    # a struct of nulls equals its like, as a plain key doesn't
+    stale = checkpointed(now.join(known, "_g", "left").filter(~F.col("_rows").eqNullSafe(F.col("_known"))).select("_g"))
+    if not stale.isEmpty():
+        old = lookup_join(kept.withColumn("_g", F.struct(*by)), stale, ["_g"], "left_anti").drop("_g")
+        fresh = states(lookup_join(df.withColumn("_g", F.struct(*by)), stale, ["_g"]).drop("_g"), by, specs, sketches)
+        write_generation(old.unionByName(fresh), path)
+    return read_generation(spark, path)
+
+
 def metrics(state: DataFrame) -> DataFrame:
     """Null share, violation share, tracked share, mean and range (of the values or of their texts' lengths) and distinct estimate of each state."""
     extra = [F.hll_sketch_estimate("sketch").alias("distinct_estimate")] if "sketch" in state.columns else []

@@ -17,10 +17,10 @@ the input are ignored, whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitrine.sources.files import has_rows
+from vitrine.sources.files import read_generation, write_generation
 
 #: Shards of a group's ordinal space: a hot group is spread over so many tasks. A dictionary keeps the number it began with.
 SHARDS = 16
@@ -60,27 +60,6 @@ def _numbered(rows: DataFrame, group: list[str], existing: DataFrame | None) ->
     return per_item.select(*group, "_shard", "item", "_at", F.coalesce("_old", begins + new - 1).cast("long").alias("_ord"))
 
 
-def read_dictionary(spark: SparkSession, path: str) -> DataFrame | None:
-    """The newest complete generation of a stored dictionary: (group, _shard, item, _ord); None where there is none."""
-    n = _generation(spark, path)
-    return spark.read.parquet(f"{path}/{n}") if n else None
-
-
-def _generation(spark: SparkSession, path: str) -> int:
-    n = 0
-    while has_rows(spark, f"{path}/{n + 1}/_done"):
-        n += 1
-    return n
-
-
-def store_dictionary(dictionary: DataFrame, path: str) -> None:
-    """Writes the next generation beside those before it, and marks it as complete last."""
-    spark = dictionary.sparkSession
-    to = f"{path}/{_generation(spark, path) + 1}"
-    dictionary.write.mode("overwrite").parquet(to)
-    spark.range(1).coalesce(1).write.mode("overwrite").parquet(f"{to}/_done")
-
-
 def set_changes(snapshots: DataFrame, group: list[str], date: str, items: str, existing: DataFrame | None = None, shards: int = SHARDS) -> DataFrame:
     """Added and removed items per group and date against the date before: (group, date, change_kind, item).
 
@@ -93,10 +72,9 @@ def set_changes(snapshots: DataFrame, group: list[str], date: str, items: str, e
 def set_changes_kept(snapshots: DataFrame, group: list[str], date: str, items: str, path: str, shards: int = SHARDS) -> DataFrame:
     """set_changes with its dictionary in a folder: read, extended by the new items and written as the next generation."""
     spark = snapshots.sparkSession
-    known = read_dictionary(spark, path)
-    rows = _presence(snapshots, group, date, items, known, shards)
-    store_dictionary(rows.select(*group, "_shard", "item", "_ord"), path)
-    return set_changes(snapshots, group, date, items, read_dictionary(spark, path), shards)
+    rows = _presence(snapshots, group, date, items, read_generation(spark, path), shards)
+    write_generation(rows.select(*group, "_shard", "item", "_ord"), path)
+    return set_changes(snapshots, group, date, items, read_generation(spark, path), shards)
 
 
 def _presence(snapshots: DataFrame, group: list[str], date: str, items: str, existing: DataFrame | None, shards: int) -> DataFrame:

@@ -107,6 +107,12 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return rows.unionByName(loads)
 
 
+#: Domains of further columns, which the profile watches beside the three declared ones; counts aren't negative, addresses are web addresses.
+DOMAINS = {
+    "accessibility_score": (0, 100), "reputation.rating": (0, 5), "listing.discounted_share": (0, 1), "trading.free_delivery_threshold": (0, 10_000),
+    **{f"{block}{c}": (0, 1_000_000) for block, cols in (("prices.", ("price_min", "price_median", "price_max")), ("listing.prices.", ("price_min", "p25", "price_median", "p75", "price_max"))) for c in cols},
+}
+COUNTED = ("_count", "_length", "products_seen", "mentions")
 #: Types whose values have a range and a mean of their own; for others the length of the text has.
 MEASURED = ("integer", "long", "double", "float", "short", "byte", "decimal", "boolean", "date", "timestamp", "timestamp_ntz")
 
@@ -116,6 +122,12 @@ def every_column(df: DataFrame) -> list[profile.ColumnSpec]:
     specs = declared()
     known = {s.name for s in specs}
 
+    def domain(name: str, c: Column, kind: str) -> Column | None:
+        if name in DOMAINS:
+            return c.between(*DOMAINS[name])
+        counts = kind in ("integer", "long") and name.endswith(COUNTED)
+        return c >= 0 if counts else c.rlike(r"^https?://\S+$") if kind == "string" and name.endswith("url") else None
+
     def leaves(schema, path):
         for f in schema.fields:
             at = [*path, f.name]
@@ -126,16 +138,21 @@ def every_column(df: DataFrame) -> list[profile.ColumnSpec]:
                 c = F.col(".".join(f"`{x}`" for x in at))
                 if kind in ("date", "timestamp_ntz"):
                     c = c.cast("timestamp")
-                yield profile.ColumnSpec(name, F.to_json(c) if kind in ("array", "map") else c, numeric=kind in MEASURED)
+                yield profile.ColumnSpec(name, F.to_json(c) if kind in ("array", "map") else c, domain(name, c, kind), numeric=kind in MEASURED)
 
     return specs + list(leaves(df.schema, []))
 
 
 def p4_profile(spark: SparkSession, folder: str) -> DataFrame:
-    """Every column of captures, per load: states per load and day from one scan, merged to loads."""
+    """Every column of captures, per load, from one scan."""
+    captures = table(spark, folder, "captures")
+    return profile.metrics(profile.states(captures, ["feed_id", "load_id"], every_column(captures), sketches=True))
+
+
+def p4_feeds(spark: SparkSession, folder: str) -> DataFrame:
+    """Every column of captures, per feed: the loads' states merged, no row read again."""
     captures = table(spark, folder, "captures")
-    parts = profile.states(captures, ["feed_id", "load_id", "capture_date"], every_column(captures), sketches=True)
-    return profile.metrics(profile.merge_states(parts, ["feed_id", "load_id"]))
+    return profile.metrics(profile.merge_states(profile.states(captures, ["feed_id", "load_id"], every_column(captures), sketches=True), ["feed_id"]))
 
 
 def p4_control(spark: SparkSession, folder: str) -> DataFrame:
@@ -210,7 +227,7 @@ P6_REPORT_SQL = " UNION ALL ".join(
     for b in FILE_BLOCKS
 )
 
-QUERIES = {"p2_found": p2_found, "p2_summary": p2_summary, "p4_found": p4_found, "p4_profile": p4_profile, "p4_control": p4_control, "p6_found": p6_found, "p6_table": p6_table, "p6_casts": p6_casts, "p6_report": p6_report}
+QUERIES = {"p2_found": p2_found, "p2_summary": p2_summary, "p4_found": p4_found, "p4_profile": p4_profile, "p4_feeds": p4_feeds, "p4_control": p4_control, "p6_found": p6_found, "p6_table": p6_table, "p6_casts": p6_casts, "p6_report": p6_report}
 SQL = {
     "p2_found": P2_SQL,
     "p2_summary": "SELECT src, slug, storefront, on_date, count(*) FILTER (change_kind = 'added') AS n_added, count(*) FILTER (change_kind = 'removed') AS n_removed, count(*) FILTER (change_kind = 'changed') AS n_changed FROM (" + P2_SQL + ") GROUP BY ALL",

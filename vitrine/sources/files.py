@@ -118,6 +118,26 @@ def _rename(spark: SparkSession, old: str, new: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).rename(where, spark._jvm.org.apache.hadoop.fs.Path(new))
 
 
+def _generation(spark: SparkSession, path: str) -> int:
+    n = 0
+    while has_rows(spark, f"{path}/{n + 1}/_done"):
+        n += 1
+    return n
+
+
+def read_generation(spark: SparkSession, path: str) -> DataFrame | None:
+    """The newest complete generation of a table that is kept in whole generations; None where there is none."""
+    n = _generation(spark, path)
+    return spark.read.parquet(f"{path}/{n}") if n else None
+
+
+def write_generation(df: DataFrame, path: str) -> None:
+    """Writes the next generation beside those before it, and marks it as complete last."""
+    to = f"{path}/{_generation(df.sparkSession, path) + 1}"
+    df.write.mode("overwrite").parquet(to)
+    df.sparkSession.range(1).coalesce(1).write.mode("overwrite").parquet(f"{to}/_done")
+
+
 def read_images(spark: SparkSession, path: str) -> DataFrame:
     """(path, modificationTime, length, content) of image files."""
     return spark.read.format("binaryFile").load(path)
