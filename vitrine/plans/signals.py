@@ -15,6 +15,7 @@ from vitrine.functions import colours, html, page, prices
 from vitrine.operators import catalogue, digest, gaps, history, mentions, tables, views
 from vitrine.plans.ask import Ask
 from vitrine.sources.tables import register_views, table
+from vitrine.streaming import streams
 
 PLACE, DAY, ORDER = ["slug", "storefront"], "capture_date", ["capture_date", "captured_at", "capture_id"]
 PAY_LATER = ("Instalpay", "PayLater", "SplitThree")
@@ -811,4 +812,48 @@ def _(s, d):
     return s.sql("SELECT (SELECT count(*) FROM captures) AS n_captures, (SELECT count(*) FROM aio) AS n_answers, CAST((SELECT count(*) FROM no_such_table) AS INT) AS n_missing")
 
 
+def _events(s, d):
+    """The events as a file stream."""
+    return streams.read_events(s, f"{d.rstrip('/')}/events.parquet*", f"{d.rstrip('/')}/events.parquet")
+
+
+def _times(df: DataFrame) -> DataFrame:
+    return df.withColumns({f.name: F.date_format(f.name, "yyyy-MM-dd HH:mm:ss.SSSSSS") for f in df.schema.fields if f.dataType.typeName().startswith("timestamp")})
+
+
+_AT = lambda c: f"strftime({c}, '%Y-%m-%d %H:%M:%S.%f')"
+
+
+@query("st_windows", f"SELECT {_AT('time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP ' + chr(39) + '1970-01-01' + chr(39) + ')')} AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def _(s, d):
+    """Tumbling windows of seven days over the stream."""
+    return _times(streams.drain(streams.windowed(_events(s, d), "ts", "event_type", "value", "7 days"), "complete")).withColumn("total", F.round("total", 4))
+
+
+@query("st_sliding", f"WITH w AS (SELECT event_type, value, time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') - to_days(CAST(k AS INTEGER)) AS start FROM events, range(3) r(k)) SELECT {_AT('start')} AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM w GROUP BY ALL")
+def _(s, d):
+    """Windows of three days, one a day."""
+    return _times(streams.drain(streams.windowed(_events(s, d), "ts", "event_type", "value", "3 days", "1 day"), "complete")).withColumn("total", F.round("total", 4))
+
+
+@query("st_sessions", f"""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), k AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT {_AT('min(ts)')} AS start, {_AT('max(ts) + INTERVAL 6 HOUR')} AS "end", user_id, count(*) AS n FROM k GROUP BY user_id, k""")
+def _(s, d):
+    """Sessions of a user, ended by six quiet hours."""
+    return _times(streams.drain(streams.sessions(_events(s, d), "ts", "user_id", "6 hours"), "complete"))
+
+
+@query("st_distinct", "SELECT event_type, count(*) AS n FROM (SELECT DISTINCT ON (event_id) event_id, event_type FROM events) GROUP BY 1")
+def _(s, d):
+    """Events of the stream and of its repetition, each kept once within the watermark."""
+    twice = _events(s, d).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    return streams.drain(streams.deduplicated(twice, "ts", ["event_id"])).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("st_transitions", """WITH t AS (SELECT user_id, event_type AS after, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) SELECT before, after, count(*) AS n FROM t WHERE before <> after GROUP BY 1, 2""")
+def _(s, d):
+    """How often a user's kind of event changes into which: custom state per user."""
+    return streams.drain(streams.transitions(_events(s, d), "user_id", "ts", "event_type")).groupBy("before", "after").agg(F.count(F.lit(1)).alias("n"))
+
+
 QUERIES = Q

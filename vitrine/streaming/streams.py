@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from vitrine.session import ensure_checkpoint_dir
 from vitrine.sources.files import upsert_store
 
 
@@ -65,6 +67,19 @@ def upsert_sink(stream: DataFrame, path: str, checkpoint: str, key: Sequence[str
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """Runs a stream over all input that is there, and gives what it wrote: a table in the shared checkpoint folder. 'complete' results replace each other, appended ones add up."""
+    spark = stream.sparkSession
+    ensure_checkpoint_dir(spark)
+    at = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/streams/{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{at}/rows")
+
+    stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{at}/rows")
+
+
 def run_once(df: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None, sink: Callable | None = None) -> DataFrame:
     """Drains the available input into a memory table and returns it; for tests and small results."""
     w = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
