@@ -19,7 +19,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitrine.session import checkpointed, lookup_join
@@ -150,7 +150,10 @@ def renames(values: DataFrame, changes: DataFrame, feed: str, file_no: str, plac
                 old.add(pdf.at[i, "old_field"]), new.add(pdf.at[i, "new_field"]), taken.append(i)
         return pdf.loc[taken, [*at, "old_field", "new_field"]]
 
-    return scored.select(*at, "old_field", "new_field", "_points", "_match").groupBy(*at).applyInPandas(settle, shape)
+    # most blocks of a file have a single candidate: those need no settling
+    kept = checkpointed(scored.select(*at, "old_field", "new_field", "_points", "_match").withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*at))))
+    alone = kept.filter("_n = 1").select(*at, "old_field", "new_field")
+    return alone.unionByName(kept.filter("_n > 1").groupBy(*at).applyInPandas(settle, shape))
 
 
 def drift(values: DataFrame, files: DataFrame, feed: str, file_no: str, place: list[str], newest: str) -> DataFrame:
