@@ -1,8 +1,8 @@
 """Frequency of every distinct value or term, with bounds.
 
-Each record emits its terms twice over: each use with its weight, and each distinct term
-once with a record mark. One hash aggregate then sums both; its map side combines
-before the shuffle, so a term that sits in every record costs one row per task.
+Each record emits its uses of terms with their weights, the first use of a term with the
+record's mark. One hash aggregate then sums both; its map side combines before the
+shuffle, so a term that sits in every record costs one row per task.
 
 Defined results: null lists and null or blank terms emit nothing; a null weight counts as
 0 uses; a term that a record has twice counts once as a record; an empty table gives no
@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 from vitrine.session import blank_free
 
+#: Items of a list whose first uses are marked by looking back.
+SHORT = 200
+
 
 def normal_term(c: Column) -> Column:
     return F.lower(blank_free(c))
@@ -27,9 +30,15 @@ def term_counts(df: DataFrame, fields: dict[str, tuple[Column, Column | None]])
     for name, (terms, weights) in fields.items():
         normal = F.transform(terms, normal_term)
         weight = F.transform(terms, lambda _: F.lit(1).cast("long")) if weights is None else F.transform(weights, lambda w: F.coalesce(w.cast("long"), F.lit(0).cast("long")))
-        uses = F.transform(F.arrays_zip(normal.alias("t"), weight.alias("w")), lambda z: F.struct(F.lit(name).alias("f"), z["t"].alias("t"), z["w"].alias("u"), F.lit(0).cast("long").alias("r")))
-        once = F.transform(F.array_distinct(normal), lambda t: F.struct(F.lit(name).alias("f"), t.alias("t"), F.lit(0).cast("long").alias("u"), F.lit(1).cast("long").alias("r")))
-        emitted.append(F.coalesce(F.concat(uses, once), F.array().cast("array<struct<f:string,t:string,u:bigint,r:bigint>>")))
+        zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+        entry = lambda t, u, r: F.struct(F.lit(name).alias("f"), t.alias("t"), u.alias("u"), r.alias("r"))  # noqa: B023, E731
+        zipped = lambda r: F.arrays_zip(r["t"].alias("t"), r["w"].alias("w"))
+        # a short list marks first uses by looking back; a long one, where that would grow with the square, emits each distinct term once more
+        short = lambda r: F.transform(zipped(r), lambda z, i: entry(z["t"], F.coalesce(z["w"], zero), F.when(F.array_position(r["t"], z["t"]) == i + 1, one).otherwise(zero)))  # noqa: B023, E731
+        long = lambda r: F.concat(F.transform(zipped(r), lambda z: entry(z["t"], F.coalesce(z["w"], zero), zero)), F.transform(F.array_distinct(r["t"]), lambda t: entry(t, zero, one)))  # noqa: B023, E731
+        # the list is normalised once: a lambda's variable isn't expanded at each use
+        uses = F.element_at(F.transform(F.array(F.struct(normal.alias("t"), weight.alias("w"))), lambda r: F.when(F.size(r["t"]) <= SHORT, short(r)).otherwise(long(r))), 1)  # noqa: B023
+        emitted.append(F.coalesce(uses, F.array().cast("array<struct<f:string,t:string,u:bigint,r:bigint>>")))
     rows = df.select(F.explode(F.concat(*emitted)).alias("_e")).filter("_e.t IS NOT NULL AND _e.t <> ''")
     return rows.groupBy(F.col("_e.f").alias("field_name"), F.col("_e.t").alias("term")).agg(F.sum("_e.u").alias("n_uses"), F.sum("_e.r").alias("n_records"))
 
