@@ -293,7 +293,31 @@ def _gaps(s, d):
     return gaps.by_priority(gaps.opportunities(newest(s, d), brand_sizes(s, d), brand_shares(s, d), silent, PAY_LATER))
 
 
-@query("o00_gap_rules")
+_FACTS = f"""WITH {LATEST}, {RUNS}, {SHARES}, {MENTIONS}, sz AS (SELECT slug, sum(size) AS n_products FROM (SELECT slug, storefront, arg_max(product_count, snap_date) FILTER (ok) AS size FROM runs GROUP BY 1, 2) GROUP BY 1),
+f AS (SELECT l.slug, coalesce(l.is_self, false) AS own, coalesce(l.headline_offer, '') AS h, coalesce(l.max_discount_pct, 0) AS pct, len(list_filter(coalesce(l.trading.finance, []), lambda x: x IN {PAY_LATER})) AS bnpl, l.trading.free_delivery_threshold AS thr, coalesce(l.trading.email_capture_offer, '') AS su,
+  l.accessibility_score AS acc, l.reputation.rating AS rating, sz.n_products FROM latest l LEFT JOIN sz USING (slug)),
+me AS (SELECT * FROM f WHERE own LIMIT 1), ot AS (SELECT *, CASE WHEN rating > 0 THEN rating END AS paid FROM f WHERE NOT own),
+pk AS (SELECT count(*) AS n, count(*) FILTER (h <> '') AS n_sale, avg(nullif(pct, 0)) AS mean_pct, count(*) FILTER (bnpl > 0) AS n_bnpl, count(*) FILTER (thr = 0) AS n_free, count(*) FILTER (su <> '') AS n_signup, round_even(avg(acc), 0) AS mean_access, count(paid) AS n_rated,
+  list_sort(list(paid) FILTER (paid IS NOT NULL)) AS rs, list_sort(list(n_products) FILTER (n_products IS NOT NULL)) AS ps FROM ot),
+x AS (SELECT me.*, pk.*, greatest(2, pk.n // 3) AS least, rs[len(rs) // 2 + 1] AS mid_rating, ps[len(ps) // 2 + 1] AS mid_products, len(list_filter(rs, lambda r: r - me.rating > 0.1)) AS ahead FROM me, pk WHERE pk.n > 0),
+mix AS (SELECT category, avg(share) FILTER (NOT own) AS mean, count(*) FILTER (NOT own) AS n, coalesce(max(share) FILTER (own), 0) AS mine FROM sh JOIN f USING (slug) GROUP BY 1),
+top AS (SELECT * FROM mix WHERE n >= 2 AND mean >= 0.12 AND mean - mine >= 0.10 ORDER BY mean - mine DESC, category DESC LIMIT 1),
+silent AS (SELECT count(DISTINCT item) AS n FROM men WHERE item NOT IN (SELECT item FROM men WHERE slug IN (SELECT slug FROM brand_list WHERE is_self)))"""
+_GAPS = f"""{_FACTS}
+SELECT 'high' AS priority, 0 AS seq, 'promo_absent' AS kind, CAST(n_sale AS DOUBLE) AS value FROM x WHERE h = '' AND n_sale >= least
+UNION ALL SELECT 'medium', 1, 'promo_shallow', mean_pct FROM x WHERE NOT (h = '' AND n_sale >= least) AND pct <> 0 AND pct < mean_pct - 10
+UNION ALL SELECT 'high', 2, 'bnpl_gap', n_bnpl FROM x WHERE bnpl = 0 AND n_bnpl >= least
+UNION ALL SELECT 'medium', 3, 'free_delivery_gap', n_free FROM x WHERE thr IS DISTINCT FROM 0 AND n_free >= least
+UNION ALL SELECT 'medium', 4, 'signup_gap', n_signup FROM x WHERE su = '' AND n_signup >= least
+UNION ALL SELECT 'low', 5, 'accessibility_gap', mean_access FROM x WHERE acc < mean_access - 8
+UNION ALL SELECT 'medium', 6, 'rating_behind', mid_rating FROM x WHERE rating > 0 AND n_rated >= 2 AND mid_rating - rating >= 0.2 AND ahead >= 2
+UNION ALL SELECT 'medium', 7, 'rating_absent', n_rated FROM x WHERE coalesce(rating, 0) = 0 AND n_rated >= least
+UNION ALL SELECT 'low', 8, 'range_short', mid_products FROM x WHERE n_products > 0 AND n_products <= mid_products * 0.5
+UNION ALL SELECT 'medium', 9, 'mix_gap:' || category, mean - mine FROM top
+UNION ALL SELECT 'high', 10, 'answers_silent', n FROM silent WHERE n > 0"""
+
+
+@query("o00_gap_rules", _GAPS)
 def _(s, d):
     return _gaps(s, d)
 
@@ -477,11 +501,25 @@ def _(s, d):
     return _ask(s, d).deepest().select("brand", "value", "on_date")
 
 
-@query("q16_ask")
+_ASK = f"""WITH {LATEST}, {MENTIONS}, own AS (SELECT slug FROM brand_list WHERE is_self LIMIT 1), mine AS (SELECT * FROM ok WHERE slug IN (SELECT slug FROM own)),
+day AS (SELECT * FROM mine QUALIFY row_number() OVER (PARTITION BY slug, capture_date ORDER BY captured_at DESC, capture_id DESC) = 1),
+hero AS (SELECT brand, coalesce(hero_message, '') AS m, lag(coalesce(hero_message, '')) OVER (PARTITION BY brand ORDER BY capture_date) AS b, capture_date FROM day),
+wk AS (SELECT * FROM ok WHERE capture_date BETWEEN (SELECT date_trunc('week', max(capture_date)) FROM ok) AND (SELECT max(capture_date) FROM ok) QUALIFY row_number() OVER (PARTITION BY slug ORDER BY capture_date DESC, captured_at DESC, capture_id DESC) = 1),
+sc AS (SELECT slug, sum(1 / rank) AS points FROM men GROUP BY 1), vo AS (SELECT slug, round(coalesce(points, 0) / sum(points) OVER (), 3) AS sov FROM brand_list LEFT JOIN sc USING (slug) ORDER BY 2 DESC, 1 LIMIT 5)
+SELECT 'offer' AS topic, brand, coalesce(headline_offer, 'no offer') AS value, capture_date AS on_date, 'headline_offer' AS source FROM latest WHERE slug IN (SELECT slug FROM own)
+UNION ALL SELECT * FROM (SELECT 'price', brand, CAST(coalesce(listing.prices.price_median, prices.price_median) AS VARCHAR), capture_date, 'prices' FROM mine WHERE coalesce(listing.prices.price_median, prices.price_median) IS NOT NULL ORDER BY capture_date DESC, captured_at DESC, capture_id DESC LIMIT 1)
+UNION ALL SELECT * FROM (SELECT 'hero_change', brand, m, capture_date, 'hero_message' FROM hero WHERE b IS NOT NULL AND m <> b AND m <> '' ORDER BY capture_date DESC LIMIT 1)
+UNION ALL SELECT 'on_sale', brand, headline_offer || ' | ' || coalesce(max_discount_pct, 0), capture_date, 'headline_offer' FROM wk WHERE coalesce(headline_offer, '') <> ''
+UNION ALL SELECT * FROM (SELECT 'deepest', brand, CAST(max_discount_pct AS VARCHAR), capture_date, 'max_discount_pct' FROM latest WHERE max_discount_pct > 0 ORDER BY max_discount_pct DESC, slug LIMIT 1)
+UNION ALL SELECT 'share_of_voice', slug, CAST(sov AS VARCHAR), NULL, 'answers' FROM vo
+UNION ALL SELECT 'on_sale', brand, headline_offer || ' | ' || coalesce(max_discount_pct, 0), capture_date, 'headline_offer' FROM latest WHERE coalesce(headline_offer, '') <> ''"""
+
+
+@query("q16_ask", _ASK, ("on_date",))
 def _(s, d):
     asked = _ask(s, d)
     own = brands(s, d).filter("is_self").first()["brand"]
-    answers = [asked.ask(q) for q in (f"Is {own} on sale?", f"What is the price at {own}?", f"When did {own} change its hero message?", "Who is on sale this week?", "Who has the deepest discount?", "share of voice")]
+    answers = [asked.ask(q) for q in (f"Is {own} on sale?", f"What is the price at {own}?", f"When did {own} change its hero message?", "Who is on sale this week?", "Who has the deepest discount?", "share of voice", "Which offers are on sale?")]
     out = answers[0]
     for a in answers[1:]:
         out = out.unionByName(a)
@@ -731,7 +769,11 @@ def _(s, d):
     return tables.levers_table(newest(s, d))
 
 
-@query("v19_policies")
+@query("v19_policies", f"""WITH n AS (SELECT slug, string_agg(text, chr(10) ORDER BY text) AS text, any_value(doc_id) AS doc_id FROM (SELECT * FROM documents WHERE source IN ('delivery_page', 'returns_page') AND slug IS NOT NULL AND text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY slug, source ORDER BY fetched_at DESC NULLS LAST, doc_id DESC) = 1) GROUP BY 1),
+t AS (SELECT slug, coalesce(text, '') AS raw, {_NORMAL} AS t FROM n), o AS (SELECT *, list_transform(list_zip({_NAMES}, {_PRICES}), lambda z: {_TITLED} || ' ' || replace(lower(z[2]), ' ', '')) AS opts, {_FREE} AS thr,
+CAST(coalesce({sql_group('raw', '(?i)' + page.RETURN_WINDOW, 1)}, {sql_group('raw', '(?i)' + page.RETURN_WINDOW, 2)}) AS INT) AS days, lower(regexp_replace({sql_group('raw', '(?i)' + page.CUTOFF)}, '[{_BLANK}]+', '', 'g')) AS cut FROM t)
+SELECT slug, array_to_string(list_slice(list_filter(opts, lambda x, i: list_position(opts, x) = i), 1, 3), ' | ') AS options, {_OVER('thr')} AS free_delivery, CASE WHEN regexp_matches(t, 'next[- ]?day|express|same[- ]?day') THEN 'yes' || coalesce(' by ' || cut, '') END AS express,
+CASE WHEN days BETWEEN 1 AND 365 THEN days END AS window_days, CASE WHEN regexp_matches(raw, {sql_pattern('(?i)' + page.FREE_RETURNS)}) THEN 'free' WHEN regexp_matches(raw, {sql_pattern('(?i)' + page.PAID_RETURNS)}) THEN 'paid' END AS return_cost, regexp_matches(t, '\\bexchanges?\\b') AS exchanges FROM o""")
 def _(s, d):
     """The policy tables over each brand's newest delivery and returns pages, read together."""
     pages_of = table(s, d, "documents").filter("source IN ('delivery_page', 'returns_page') AND slug IS NOT NULL AND text IS NOT NULL")
