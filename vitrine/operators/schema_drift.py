@@ -9,7 +9,8 @@ a flag), never from all pairs.
 
 Defined results: unreadable or null texts and texts that aren't objects give no values and
 are counted; null values count as absence; repeated records of a place count once, with
-the last record's value; a type tie within a file goes to the type first in the alphabet;
+the last record's value; a record without feed or file number belongs to no file and one
+without a place takes no part in the search for renames; a type tie within a file goes to the type first in the alphabet;
 an empty table gives no rows. Members of any depth are joined by '.'; lists are leaves.
 """
 

@@ -89,22 +89,25 @@ def freshness(df: DataFrame, latest_any: DataFrame, date: str, key: str) -> Data
     return joined.select(key, F.when(F.col("status") != "success", "failed").when(F.col(date) == F.col("_max"), "fresh").otherwise("stale").alias("freshness"))
 
 
-def overview(today: DataFrame) -> DataFrame:
-    """One row of headline figures over today's successful records."""
+def overview(today: DataFrame, n_brands: DataFrame) -> DataFrame:
+    """One row of headline figures over today's successful records; deeper: the brands above the median discount; blocked: the brands of all (one row, column n_brands) without a record today."""
     pct = F.col("max_discount_pct")
     fast = F.exists(F.coalesce("delivery", F.array().cast("array<string>")), lambda d: F.lower(d).rlike(r"next[\s-]?day|express"))
     threshold = F.col("trading.free_delivery_threshold")
-    return today.agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce(F.col("headline_offer"), F.lit("")) != "").alias("n_on_sale"), F.median(pct).alias("median_discount"), F.max(pct).alias("max_discount"),
+    figures = today.agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("slug").alias("_fresh"), F.count_if(F.coalesce(F.col("headline_offer"), F.lit("")) != "").alias("n_on_sale"), F.median(pct).alias("median_discount"), F.max(pct).alias("max_discount"),
         F.count_if(fast).alias("n_fast"), F.min(F.when(threshold > 0, threshold)).alias("low_threshold"), F.max(threshold).alias("high_threshold"), F.count_if(threshold == 0).alias("n_no_minimum"),
     )
+    # a name a brand: as long as the roster
+    deeper = today.crossJoin(F.broadcast(figures.select(F.col("median_discount").alias("_m")))).filter(pct > F.col("_m")).agg(F.array_join(F.array_sort(F.collect_set("slug")), " | ").alias("deeper"))
+    return figures.crossJoin(deeper).crossJoin(n_brands).withColumn("n_blocked", F.col("n_brands") - F.col("_fresh")).drop("_fresh", "n_brands")  # one row each
 
 
 def stance(latest: DataFrame, key: str, margin: float = 0) -> DataFrame:
-    """(key, stance): each discount against the market's median."""
+    """(key, own, stance): each discount against the market's median; the own brand's row is the callout."""
     m = latest.agg(F.median("max_discount_pct").alias("m"))
     d = F.col("max_discount_pct") - F.col("m")
-    return latest.crossJoin(F.broadcast(m)).select(key, F.when(d > margin, "deeper").when(d < -margin, "shallower").when(d.isNotNull(), "in line").alias("stance"))  # one row
+    return latest.crossJoin(F.broadcast(m)).select(key, F.coalesce("is_self", F.lit(False)).alias("own"), F.when(d > margin, "deeper").when(d < -margin, "shallower").when(d.isNotNull(), "in line").alias("stance"))  # one row
 
 
 def promo_pressure(df: DataFrame, date: str) -> DataFrame:
@@ -159,9 +162,29 @@ def category_matrix(shares: DataFrame, key: str, categories: Sequence[str]) -> D
 
 
 def reputation_board(latest: DataFrame, least: int = VERIFIED_REVIEWS) -> DataFrame:
-    """(slug, rating, review_count, verified), verified ratings first, best first."""
-    verified = F.col("reputation.rating").isNotNull() & (F.coalesce("reputation.review_count", F.lit(0)) >= least)
-    return latest.select("slug", F.col("reputation.rating").alias("rating"), F.col("reputation.review_count").alias("review_count"), verified.alias("verified")).orderBy(F.desc("verified"), F.desc("rating"), F.desc("review_count"), "slug")
+    """(slug, rating, review_count, verified, place, market_mean, pack_median): verified ratings first, best first, then thin ones, then those with a review platform only. The mean and the others' upper median are over verified ratings."""
+    rating, n = F.col("reputation.rating"), F.coalesce("reputation.review_count", F.lit(0))
+    verified = rating.isNotNull() & (n >= least)
+    score = F.when(verified, 1e6).otherwise(0.0) + F.coalesce(rating, F.lit(0.0)) * 1000 + n / 1e6 + F.when(F.size(F.coalesce("reputation.platforms", F.array().cast("array<string>"))) > 0, 0.1).otherwise(0.0)
+    rows = latest.select("slug", F.coalesce("is_self", F.lit(False)).alias("_own"), rating.alias("rating"), F.col("reputation.review_count").alias("review_count"), verified.alias("verified"), score.alias("_score"))
+    market = rows.agg(F.avg(F.when(F.col("verified"), F.col("rating"))).alias("market_mean"), upper_median(F.when(F.col("verified") & ~F.col("_own"), F.col("rating"))).alias("pack_median"))
+    placed = rows.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("_score"), "slug")))  # a row a brand
+    return placed.crossJoin(F.broadcast(market)).select("slug", "rating", "review_count", "verified", "place", "market_mean", "pack_median").orderBy("place")  # one row
+
+
+def access_board(latest: DataFrame) -> DataFrame:
+    """(slug, accessibility_score, place, market_mean): brands with a score, best first."""
+    rows = latest.filter("accessibility_score IS NOT NULL").select("slug", "accessibility_score")
+    mean = rows.agg(F.avg("accessibility_score").alias("market_mean"))
+    placed = rows.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("accessibility_score"), "slug")))  # a row a brand
+    return placed.crossJoin(F.broadcast(mean)).select("slug", "accessibility_score", "place", js_round(F.col("market_mean")).alias("market_mean")).orderBy("place")  # one row
+
+
+def range_board(sizes: DataFrame, key: Sequence[str]) -> DataFrame:
+    """(key, n_new, size, place, pack_median, total): newness with each key's place by size, the upper median size and the sum of all sizes."""
+    pack = sizes.agg(upper_median(F.col("size")).alias("pack_median"), F.sum("size").alias("total"))
+    n = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc_nulls_last("size"), *key))  # a row a storefront
+    return sizes.withColumn("place", F.when(F.col("size").isNotNull(), n)).crossJoin(F.broadcast(pack))  # one row
 
 
 def compact_count(c: Column) -> Column:

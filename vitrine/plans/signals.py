@@ -247,6 +247,14 @@ def _(s, d):
     return catalogue.newness(catalogue_runs(s, d), PLACE, "snap_date")
 
 
+@query("v22_range_board", f"""WITH {RUNS}, n AS (SELECT *, dense_rank() OVER (PARTITION BY slug, storefront ORDER BY snap_date DESC) AS k FROM runs),
+w AS (SELECT slug, storefront, CAST(sum(CASE WHEN k <= 7 AND ok AND NOT first_seen THEN new_count ELSE 0 END) AS BIGINT) AS n_new, arg_max(product_count, snap_date) FILTER (ok) AS size FROM n GROUP BY 1, 2),
+l AS (SELECT list_sort(list(size) FILTER (size IS NOT NULL)) AS l, CAST(sum(size) AS BIGINT) AS total FROM w)
+SELECT w.*, CASE WHEN size IS NOT NULL THEN row_number() OVER (ORDER BY size DESC NULLS LAST, slug, storefront) END AS place, l[len(l) // 2 + 1] AS pack_median, total FROM w, l""")
+def _(s, d):
+    return views.range_board(catalogue.newness(catalogue_runs(s, d), PLACE, "snap_date"), PLACE)
+
+
 @query("v23_category_matrix", f"WITH {SHARES} SELECT slug, " + ", ".join(f"coalesce(max(share) FILTER (category = '{c}'), 0) AS {c}" for c in TAXONOMY) + " FROM sh GROUP BY 1")
 def _(s, d):
     return views.category_matrix(brand_shares(s, d), "slug", list(TAXONOMY))
@@ -392,15 +400,17 @@ for _grain in ("week", "month", "quarter"):
         SQL[f"v28_{_metric}_{_grain}"] = f"WITH {CAP}, p AS (SELECT slug, {_label} AS period, avg({_v}) AS value FROM ok GROUP BY 1, 2) SELECT * FROM p WHERE period IN (SELECT DISTINCT period FROM p ORDER BY 1 DESC LIMIT {views.PERIODS_SHOWN[_grain]})"
 
 
-@query("v06_overview", f"""WITH {CAP} SELECT count(*) AS n, count(*) FILTER (coalesce(headline_offer, '') <> '') AS n_on_sale, CAST(median(max_discount_pct) AS DOUBLE) AS median_discount, max(max_discount_pct) AS max_discount,
+@query("v06_overview", f"""WITH {CAP}, t AS (SELECT * FROM ok WHERE capture_date = (SELECT max(capture_date) FROM ok)), m AS (SELECT median(max_discount_pct) AS m FROM t)
+SELECT count(*) AS n, count(*) FILTER (coalesce(headline_offer, '') <> '') AS n_on_sale, CAST(median(max_discount_pct) AS DOUBLE) AS median_discount, max(max_discount_pct) AS max_discount,
 count(*) FILTER (len(list_filter(coalesce(delivery, []), lambda x: regexp_matches(lower(x), 'next[\\s-]?day|express'))) > 0) AS n_fast, min(trading.free_delivery_threshold) FILTER (trading.free_delivery_threshold > 0) AS low_threshold,
-max(trading.free_delivery_threshold) AS high_threshold, count(*) FILTER (trading.free_delivery_threshold = 0) AS n_no_minimum FROM ok WHERE capture_date = (SELECT max(capture_date) FROM ok)""")
+max(trading.free_delivery_threshold) AS high_threshold, count(*) FILTER (trading.free_delivery_threshold = 0) AS n_no_minimum, coalesce((SELECT string_agg(DISTINCT slug, ' | ' ORDER BY slug) FROM t, m WHERE max_discount_pct > m.m), '') AS deeper, (SELECT count(DISTINCT slug) FROM cap) - count(DISTINCT slug) AS n_blocked FROM t""")
 def _(s, d):
-    ok = history.successful(records(s, d))
-    return views.overview(ok.filter(F.col(DAY) == ok.agg(F.max(DAY)).scalar()))
+    rows = records(s, d)
+    ok = history.successful(rows)
+    return views.overview(ok.filter(F.col(DAY) == ok.agg(F.max(DAY)).scalar()), rows.agg(F.countDistinct("slug").alias("n_brands")))
 
 
-@query("v07_stance", f"WITH {LATEST}, m AS (SELECT median(max_discount_pct) AS m FROM latest) SELECT slug, CASE WHEN max_discount_pct > m THEN 'deeper' WHEN max_discount_pct < m THEN 'shallower' WHEN max_discount_pct IS NOT NULL THEN 'in line' END AS stance FROM latest, m")
+@query("v07_stance", f"WITH {LATEST}, m AS (SELECT median(max_discount_pct) AS m FROM latest) SELECT slug, coalesce(is_self, false) AS own, CASE WHEN max_discount_pct > m THEN 'deeper' WHEN max_discount_pct < m THEN 'shallower' WHEN max_discount_pct IS NOT NULL THEN 'in line' END AS stance FROM latest, m")
 def _(s, d):
     return views.stance(newest(s, d), "slug")
 
@@ -436,9 +446,9 @@ def _(s, d):
     return newest(s, d).filter("prices.price_median IS NOT NULL").select("slug", F.col("prices.price_min").alias("low"), F.col("prices.price_median").alias("mid"), F.col("prices.price_max").alias("high")).orderBy("mid", "slug")
 
 
-@query("v18_listing_depth", f"WITH {LATEST} SELECT slug, listing.prices.p25 AS p25, listing.prices.price_median AS mid, listing.prices.p75 AS p75, listing.discounted_share AS discounted_share FROM latest WHERE listing.prices.price_median IS NOT NULL")
+@query("v18_listing_depth", f"WITH {LATEST} SELECT slug, listing.prices.p25 AS p25, listing.prices.price_median AS mid, listing.prices.p75 AS p75, listing.discounted_share AS discounted_share, listing.on_sale_count AS on_sale_count FROM latest WHERE listing.prices.price_median IS NOT NULL")
 def _(s, d):
-    return newest(s, d).filter("listing.prices.price_median IS NOT NULL").select("slug", F.col("listing.prices.p25").alias("p25"), F.col("listing.prices.price_median").alias("mid"), F.col("listing.prices.p75").alias("p75"), F.col("listing.discounted_share").alias("discounted_share")).orderBy("mid", "slug")
+    return newest(s, d).filter("listing.prices.price_median IS NOT NULL").select("slug", F.col("listing.prices.p25").alias("p25"), F.col("listing.prices.price_median").alias("mid"), F.col("listing.prices.p75").alias("p75"), F.col("listing.discounted_share").alias("discounted_share"), F.col("listing.on_sale_count").alias("on_sale_count")).orderBy("mid", "slug")
 
 
 @query("v21_market_map", f"""WITH {LATEST}, {RUNS}, z AS (SELECT slug, sum(size) AS size FROM (SELECT slug, storefront, arg_max(product_count, snap_date) FILTER (ok) AS size FROM runs GROUP BY 1, 2) GROUP BY 1),
@@ -449,14 +459,16 @@ def _(s, d):
     return views.market_map(newest(s, d), brand_sizes(s, d))
 
 
-@query("v26_reputation", f"WITH {LATEST} SELECT slug, reputation.rating AS rating, reputation.review_count AS review_count, reputation.rating IS NOT NULL AND coalesce(reputation.review_count, 0) >= 25 AS verified FROM latest")
+@query("v26_reputation", f"""WITH {LATEST}, r AS (SELECT slug, coalesce(is_self, false) AS own, reputation.rating AS rating, reputation.review_count AS review_count, reputation.rating IS NOT NULL AND coalesce(reputation.review_count, 0) >= 25 AS verified, len(coalesce(reputation.platforms, [])) AS np FROM latest),
+m AS (SELECT avg(rating) FILTER (verified) AS market_mean, list_sort(list(rating) FILTER (verified AND NOT own)) AS l FROM r)
+SELECT slug, rating, review_count, verified, row_number() OVER (ORDER BY CASE WHEN verified THEN 1e6 ELSE 0 END + coalesce(rating, 0) * 1000 + coalesce(review_count, 0) / 1e6 + CASE WHEN np > 0 THEN 0.1 ELSE 0 END DESC, slug) AS place, market_mean, l[len(l) // 2 + 1] AS pack_median FROM r, m""")
 def _(s, d):
     return views.reputation_board(newest(s, d))
 
 
-@query("v27_access_board", f"WITH {LATEST} SELECT slug, accessibility_score FROM latest WHERE accessibility_score IS NOT NULL")
+@query("v27_access_board", f"WITH {LATEST}, s AS (SELECT slug, accessibility_score FROM latest WHERE accessibility_score IS NOT NULL) SELECT *, row_number() OVER (ORDER BY accessibility_score DESC, slug) AS place, CAST(floor(avg(accessibility_score) OVER () + 0.5) AS BIGINT) AS market_mean FROM s")
 def _(s, d):
-    return newest(s, d).filter("accessibility_score IS NOT NULL").select("slug", "accessibility_score").orderBy(F.desc("accessibility_score"), "slug")
+    return views.access_board(newest(s, d))
 
 
 @query("v32_footer", f"WITH {CAP} SELECT count(*) FILTER (status = 'success') AS n_success, count(DISTINCT slug) AS n_brands, count(DISTINCT capture_date) AS n_days FROM cap")
@@ -704,6 +716,12 @@ def _(s, d):
     return html.parsed(pages(s, d)).select("capture_id", F.col("page.n_h1").alias("h1_count"), F.col("page.n_links").alias("n_links"), F.col("page.n_images").alias("n_images"), F.col("page.n_h2").alias("n_h2"), F.round(3 * F.col("page.ratios")[6] + 1).cast("int").alias("n_fields"))
 
 
+@query("x23_access_issues", _PAGE + "SELECT capture_id, (CASE WHEN trim(seo.title) = '' THEN 'doc_title | ' ELSE '' END) || 'form_labels | viewport | skip_link' AS issues, CAST(round_even(100 - (CASE WHEN trim(seo.title) = '' THEN 8 ELSE 0 END + 8 * 0.333 + 6 + 3) * 100 / 96, 0) AS INT) AS score FROM p")
+def _(s, d):
+    """Accessibility of the made-up pages: what they lack must be named, by weight."""
+    return html.parsed(pages(s, d)).select("capture_id", F.array_join(html.top_issues(), " | ").alias("issues"), html.accessibility()["score"].alias("score"))
+
+
 @query("x61_nearest_colour", "WITH v AS (SELECT vec_id, CAST(floor(abs(embedding[1]) * 1000) AS BIGINT) % 256 AS r, CAST(floor(abs(embedding[2]) * 1000) AS BIGINT) % 256 AS g, CAST(floor(abs(embedding[3]) * 1000) AS BIGINT) % 256 AS b FROM embeddings), p(i, name, x, y, z) AS (VALUES " + ", ".join(f"({i}, '{n}', {a}, {b}, {c})" for i, (n, (a, b, c)) in enumerate(PALETTE.items())) + ") SELECT vec_id, arg_min(name, ((r-x)*(r-x)+(g-y)*(g-y)+(b-z)*(b-z)) * 100 + i) AS name FROM v, p GROUP BY 1")
 def _(s, d):
     ch = lambda i: F.pmod(F.floor(F.abs(F.col("embedding")[i]) * 1000), F.lit(256))
