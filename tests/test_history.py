@@ -76,6 +76,11 @@ def test_periods_and_formats(spark):
     assert tuple(df.first()) == ("2026-W53", "2027-01", "2027-Q1", "12k", 0)
 
 
+def test_seo_health_counts_structured_data(spark):
+    df = spark.createDataFrame([(("t" * 55, "d" * 130, 1), ["Product"]), (("t", None, 0), [])], "seo struct<title:string,meta_description:string,h1_count:int>, types array<string>")
+    assert [r["v"] for r in df.select(views.seo_health(F.col("types")).alias("v")).collect()] == [100, 15] and [r["v"] for r in df.select(views.seo_health().alias("v")).collect()] == [80, 15]
+
+
 def test_ask(spark):
     rows = [rec("ana", 1), rec("ana", 3, offer="up to 30% off", pct=30, hero="Sun", median=20.0), rec("bo", 3, offer="10% off", pct=10), rec("bo", 4), rec("zoe & co", 4, offer="sale", pct=50)]
     brands = spark.createDataFrame([("ana", "Ana"), ("bo", "Bo"), ("zoe & co", "Zoe & Co")], "slug string, brand string")
@@ -86,6 +91,10 @@ def test_ask(spark):
     assert {r["brand"] for r in a.ask("who is on sale?").collect()} == {"Ana", "Zoe & Co"}
     assert first("When did Ana start its sale?")["value"].startswith("started")
     assert first("price at ana")["value"] == "20.0" and first("Is Nobody Special on sale?")["topic"] == "unknown"
+    # a market-wide question without "who", the wording of a timeline, and evidence over a span
+    assert {r["brand"] for r in a.ask("Which offers are on sale?").collect()} == {"Ana", "Zoe & Co"}
+    assert first("What is the biggest bag at Ana?")["topic"] == "snapshot" and first("When did the Ana banner change?")["topic"] == "hero_change"
+    assert first("Is Bo on sale between 2025-03-01 and 2025-03-09?")["value"] == "1 of 2; 10% off; 2025-03-03 to 2025-03-03"
     names = roster(brands)
     assert match_brand("zoe and co please", names)[0].slug == "zoe & co" and match_brand("zoee?", names)[0].slug == "zoe & co"
     assert closest_brand("Anna", names).slug == "ana"

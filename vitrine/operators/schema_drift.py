@@ -183,7 +183,10 @@ def canonical_names(changes: DataFrame, fields: DataFrame, feed: str) -> DataFra
     """
     used = fields.groupBy("block_name", "path").agg(F.count(F.lit(1)).alias("_n"))
     own = fields.select(feed, "block_name", "path").distinct().join(used, ["block_name", "path"])
-    links = changes.filter("change_kind = 'renamed'").select(feed, "block_name", "old_field", "new_field").distinct()
+    # both sides come from the same rows: renamed anew, so that neither's columns are taken for the other's
+    fresh = lambda df, *cols: df.select(*[F.col(c).alias(c) for c in cols])
+    own = fresh(own, feed, "block_name", "path", "_n")
+    links = fresh(changes.filter("change_kind = 'renamed'"), feed, "block_name", "old_field", "new_field").distinct()
     kind = fields.schema[feed].dataType.simpleString()
 
     def settle(here: pd.DataFrame, moved: pd.DataFrame) -> pd.DataFrame:
