@@ -130,14 +130,16 @@ class NgramIndex:
         total = self.names.count()
         self.total, self.parts = total, []
         n_parts = max(1, -(-total // MAX_NAMES))
-        held = self.names.select("name", F.pmod(F.xxhash64("name"), F.lit(n_parts)).alias("part"))
+        held = self.names.select("key", "name", "joined", F.pmod(F.xxhash64("name"), F.lit(n_parts)).alias("part"))
         # how many names have a gram: over the whole list
-        lists = [[r["name"] for r in held.filter(F.col("part") == i).select("name").sort("name").toLocalIterator()] for i in range(n_parts)] if total else []
+        rows = [held.filter(F.col("part") == i).drop("part").sort("name").collect() for i in range(n_parts)] if total else []
+        lists = [[r["name"] for r in part] for part in rows]
         df = Counter(g for part in lists for n in part for g in word_grams(n))
         weight = {g: math.log(1 + total / k) for g, k in df.items()}
         self.unknown = sum(weight.values()) / len(weight) if weight else 1.0
         words = Counter(w for part in lists for n in part for w in set(n.split(" ")))
         self.words = {w: math.log(1 + total / k) / math.log(1 + total) for w, k in words.items()}
+        self._rows, self._described = rows, None
         self.longest = max((len(n.split(" ")) for part in lists for n in part), default=0)
         for part in lists:
             postings: dict[str, list] = {}
@@ -161,12 +163,11 @@ class NgramIndex:
 
     def described(self) -> DataFrame:
         """(key, name, joined, nwords): the names with their words, each with its letters in order and its weight in the list."""
-        weigh = F.create_map(*[x for w, v in self.words.items() for x in (F.lit(w), F.lit(v))]) if 0 < len(self.words) <= 500 else None
-        if weigh is not None:
-            return self.names.select("key", "name", "joined", F.transform(F.split("name", " "), lambda w: F.struct(w.alias("w"), _letters(w).alias("s"), F.coalesce(F.try_element_at(weigh, w), F.lit(1.0)).alias("m"))).alias("nwords"))
-        weights = self.spark.createDataFrame(pd.DataFrame({"w": list(self.words), "m": list(self.words.values())}, columns=["w", "m"]), "w string, m double")
-        flat = self.names.select("key", "name", "joined", F.explode(F.split("name", " ")).alias("w")).join(weights, "w")
-        return flat.groupBy("key", "name", "joined").agg(F.collect_list(F.struct("w", _letters(F.col("w")).alias("s"), "m")).alias("nwords"))
+        if self._described is None:
+            typed = {"key": self.names.schema["key"].dataType.simpleString()}
+            made = [(r["key"], r["name"], r["joined"], [(w, "".join(sorted(w)), self.words[w]) for w in r["name"].split(" ")]) for part in self._rows for r in part]
+            self._described = checkpointed(self.spark.createDataFrame(made, f"key {typed['key']}, name string, joined boolean, nwords array<struct<w:string,s:string,m:double>>"))
+        return self._described
 
 
 def _scorer(shared, value: str, threshold: float):
@@ -250,7 +251,7 @@ def match(index: NgramIndex, values: DataFrame, value: str, long_name: int = LON
     kept = values.select(value, *[c for c in ("vwords", "several") if c in have])
     kept = kept.repartition(values.sparkSession.sparkContext.defaultParallelism * 2)
     names = index.described()
-    names = F.broadcast(names) if fits_broadcast(names) else names
+    names = F.broadcast(names) if index.total <= MAX_NAMES and fits_broadcast(names) else names
     pairs = index.scored(kept, value, threshold).join(names, "name")
     if len(have & {"vwords", "several"}):
         pairs = pairs.join(kept, value)
