@@ -49,6 +49,8 @@ NAME_SHARE, ADDED_SHARE = 0.7, 0.45
 LEAD_WORD = 5
 #: Names of an index that a task holds in memory; a longer list is searched in parts of this size.
 MAX_NAMES = 100_000
+#: Names of a reference list at most: the index is made on the driver, which holds them all once. A longer list is refused.
+MOST_NAMES = 2_000_000
 #: Articles and legal forms, which belong to no name. Fixed values.
 ADDED = ("the", "ltd", "limited", "plc", "inc", "llc", "gmbh")
 #: What web addresses add to a name. Fixed values.
@@ -128,6 +130,8 @@ class NgramIndex:
         self.names = checkpointed(names)
         self.spark = names.sparkSession
         total = self.names.count()
+        if total > MOST_NAMES:
+            raise ValueError(f"the reference list has more than {MOST_NAMES} names")
         self.total, self.parts = total, []
         n_parts = max(1, -(-total // MAX_NAMES))
         held = self.names.select("key", "name", "joined", F.pmod(F.xxhash64("name"), F.lit(n_parts)).alias("part"))
