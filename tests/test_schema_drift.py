@@ -94,3 +94,19 @@ def test_chain_of_overlapping_renames(spark):
     old, new = ["bbacbbaa", "caaccbcc", "abcaabcc"], ["caacbbaa", "caabaacb", "cacabaaa"]
     got, _ = found(spark, rows_of([lambda i: dict.fromkeys(old, 100 + i), lambda i: dict.fromkeys(new, 100 + i)]))
     assert got == {(1, "listing", 2, "renamed", a, b) for a, b in zip(old, new, strict=True)}
+
+
+def test_no_value_is_broadcast_by_an_estimate(spark, monkeypatch, tmp_path):
+    """Values from a compressed file look small to the planner: past the measured bound, none of their joins may be a broadcast."""
+    seen = []
+    monkeypatch.setattr("vitrine.session.fits_broadcast", lambda *a: False)
+    keep = sd.checkpointed
+    monkeypatch.setattr(sd, "checkpointed", lambda df: seen.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df))
+    spark.createDataFrame(rows_of([lambda i: {"seen": 40 + i}, lambda i: {"items_seen": 41 + i}]), RAW).coalesce(1).write.parquet(str(tmp_path / "raw"))
+    df = spark.read.parquet(str(tmp_path / "raw"))
+    v = sd.path_values(df, IDS, ["listing"])
+    changes = keep(sd.presence_changes(sd.fields_by_file(v, "feed_id", "file_no"), df, "feed_id", "file_no"))
+    seen.clear()
+    got = sd.renames(v, changes, "feed_id", "file_no", ["slug", "storefront"], "raw_id")
+    assert [(r["old_field"], r["new_field"]) for r in got.collect()] == [("seen", "items_seen")]
+    assert any("SortMergeJoin" in plan for plan in seen) and not any("Broadcast" in plan for plan in seen)

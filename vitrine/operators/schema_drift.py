@@ -96,11 +96,11 @@ def fields_by_file(values: DataFrame, feed: str, file_no: str) -> DataFrame:
 def presence_changes(fields: DataFrame, files: DataFrame, feed: str, file_no: str) -> DataFrame:
     """(feed, block_name, file_no, path, old_kind, new_kind) where a path comes, goes or changes type against file_no - 1; both files must have been delivered."""
     pairs = files.select(feed, file_no).distinct()
-    pairs = pairs.join(pairs.select(feed, (F.col(file_no) + 1).alias(file_no)), [feed, file_no])
+    pairs = checkpointed(pairs.join(pairs.select(feed, (F.col(file_no) + 1).alias(file_no)), [feed, file_no]))
     cur = fields.select(feed, "block_name", F.col(file_no), "path", F.col("kind").alias("new_kind"), F.lit(None).cast("string").alias("old_kind"))
     prev = fields.select(feed, "block_name", (F.col(file_no) + 1).alias(file_no), "path", F.lit(None).cast("string").alias("new_kind"), F.col("kind").alias("old_kind"))
     net = cur.unionByName(prev).groupBy(feed, "block_name", file_no, "path").agg(F.max("new_kind").alias("new_kind"), F.max("old_kind").alias("old_kind"))
-    return net.filter(~F.col("new_kind").eqNullSafe(F.col("old_kind"))).join(pairs, [feed, file_no])
+    return lookup_join(net.filter(~F.col("new_kind").eqNullSafe(F.col("old_kind"))), pairs, [feed, file_no])
 
 
 def _value_keys() -> list:
@@ -118,28 +118,40 @@ def _value_keys() -> list:
     return [F.concat(F.lit("="), plain), key("a", F.floor(size * 10)), key("b", F.floor(size * 10 + 0.5)), key("n", F.when(whole > 1, whole)), key("n", whole + 1)]
 
 
+def moving_values(values: DataFrame, changes: DataFrame, feed: str, file_no: str, place: list[str], newest: str) -> DataFrame:
+    """(feed, block_name, file_no, path, place, value, _goes, _comes): each place's last value of the fields that the next file lacks (_goes) or the file before lacked (_comes); the other fields' values are left before any are moved."""
+    at = [feed, "block_name", file_no, "path"]
+    gone = changes.filter("new_kind IS NULL").select(feed, "block_name", (F.col(file_no) - 1).alias(file_no), "path", F.lit(True).alias("_goes"), F.lit(False).alias("_comes"))
+    come = changes.filter("old_kind IS NULL").select(*at, F.lit(False).alias("_goes"), F.lit(True).alias("_comes"))
+    touched = checkpointed(gone.unionByName(come).groupBy(*at).agg(F.max("_goes").alias("_goes"), F.max("_comes").alias("_comes")))
+    kept = lookup_join(values.filter("path IS NOT NULL"), touched, at)
+    return kept.groupBy(*at, *place).agg(F.max_by("value", newest).alias("value"), F.max("_goes").alias("_goes"), F.max("_comes").alias("_comes"))
+
+
 def renames(values: DataFrame, changes: DataFrame, feed: str, file_no: str, place: list[str], newest: str) -> DataFrame:
-    """(feed, block_name, file_no, old_field, new_field): one-to-one pairs, best first."""
+    """(feed, block_name, file_no, old_field, new_field): one-to-one pairs, best first.
+
+    Joins of values are merges by hint: their size is told from compressed files, many times too small, so
+    that a side of hundreds of MB would be broadcast through the driver.
+    """
     at = [feed, "block_name", file_no]
-    keyed = values.filter("path IS NOT NULL").groupBy(feed, "block_name", file_no, *place, "path").agg(F.max_by("value", newest).alias("value"))
-    gone = changes.filter("new_kind IS NULL").select(*at, "path")
-    come = changes.filter("old_kind IS NULL").select(*at, "path")
-    before = keyed.withColumn(file_no, F.col(file_no) + 1).join(gone, [*at, "path"])
-    after = keyed.join(come, [*at, "path"])
+    keyed = checkpointed(moving_values(values, changes, feed, file_no, place, newest))
+    before = keyed.filter("_goes").withColumn(file_no, F.col(file_no) + 1)
+    after = keyed.filter("_comes")
     index = lambda df, name: df.select(*at, *place, F.col("path").alias(name), F.explode(F.array_compact(F.array(*_value_keys()))).alias("_key"))
-    met = index(before, "old_field").join(index(after, "new_field"), [*at, *place, "_key"])
+    met = index(before, "old_field").join(index(after, "new_field").hint("merge"), [*at, *place, "_key"])
     matched = met.groupBy(*at, "old_field", "new_field", *place).agg(F.max(F.col("_key").startswith("=").cast("int")).alias("_same"))
     matched = matched.groupBy(*at, "old_field", "new_field").agg(F.count(F.lit(1)).alias("_match"), F.sum("_same").alias("_same"))
     # places that have both fields, for matched pairs only
     both = (
         matched.select(*at, "old_field", "new_field")
-        .join(before.select(*at, *place, F.col("path").alias("old_field")), [*at, "old_field"])
-        .join(after.select(*at, *place, F.col("path").alias("new_field")), [*at, "new_field", *place])
+        .join(before.select(*at, *place, F.col("path").alias("old_field")).hint("merge"), [*at, "old_field"])
+        .join(after.select(*at, *place, F.col("path").alias("new_field")).hint("merge"), [*at, "new_field", *place])
         .groupBy(*at, "old_field", "new_field").agg(F.count(F.lit(1)).alias("_common"))
     )
     bare = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
     near = 1 - F.levenshtein(bare("old_field"), bare("new_field")) / F.greatest(F.length("old_field"), F.length("new_field"))
-    scored = matched.join(both, [*at, "old_field", "new_field"]).filter(F.col("_match") >= MATCH_SHARE * F.col("_common"))
+    scored = matched.join(both.hint("merge"), [*at, "old_field", "new_field"]).filter(F.col("_match") >= MATCH_SHARE * F.col("_common"))
     scored = scored.withColumn("_points", (F.col("_match") + F.col("_same")) / (2 * F.col("_common")) + 0.3 * near)
     # one-to-one: the best pair left of a block and file is taken until none is left; a group is as small as the fields that went and came
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in scored.select(*at, "old_field", "new_field").schema.fields)
@@ -182,7 +194,7 @@ def canonical_names(changes: DataFrame, fields: DataFrame, feed: str) -> DataFra
     links of a feed's block are as few as its fields, so each is settled in one piece of a task.
     """
     used = fields.groupBy("block_name", "path").agg(F.count(F.lit(1)).alias("_n"))
-    own = fields.select(feed, "block_name", "path").distinct().join(used, ["block_name", "path"])
+    own = lookup_join(fields.select(feed, "block_name", "path").distinct(), checkpointed(used), ["block_name", "path"])
     # both sides come from the same rows: renamed anew, so that neither's columns are taken for the other's
     fresh = lambda df, *cols: df.select(*[F.col(c).alias(c) for c in cols])
     own = fresh(own, feed, "block_name", "path", "_n")
