@@ -132,3 +132,13 @@ def test_colours(spark):
     assert {r["img"]: r["blank"] for r in colours.looks_blank(px, "img").collect()} == {1: True, 2: False}
     top = colours.dominant(px, "img").filter("img = 2").orderBy(F.desc("share")).collect()
     assert [(r["hex"], r["share"]) for r in top] == [("#ffffff", 0.9), ("#000000", 0.1)]
+
+
+def test_each_text_is_read_once(spark):
+    """A value that is used at several places is worked out once: what is read from a text stands once in the plan, not once for each use."""
+    df = spark.createDataFrame([("", "")], "h string, t string")
+    plan = lambda c: df.select(c.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    band = plan(page.home_band(prices.home_prices(prices.scan(H, T))))
+    assert band.count("_titled(") == 1 and band.count("regexp_extract_all(") == 1
+    assert plan(page.reputation(H, T)).count("aggregateRating") == 1
+    assert plan(page.blocked(H)).count("<title") == 1
