@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from vitrine.llm import encoding as e
@@ -52,3 +53,13 @@ def test_round_trips():
 
 def test_empty(spark):
     assert e.garbled_tokens(spark.createDataFrame([], "id long, body string"), "id", "body").count() == 0
+
+
+@pytest.mark.parametrize("rare", [1, 2, 4, 40])
+def test_margin_counts_every_clean_word(spark, rare):
+    """Rare words beyond the 2,000 most frequent ones decide here; the margin is the exact quantile of all."""
+    gains = [0.5 + i / 4000 for i in range(3000)] + [5.0 + i / 100 for i in range(rare)]
+    scored = spark.createDataFrame([(f"é{i}x".translate(str.maketrans("0123456789", "abcdefghij")), None, g) for i, g in enumerate(gains)] + [("�", None, 30.0), ("garblé", None, 30.0)], "token string, reading string, gain double")
+    words = scored.filter("gain < 30").selectExpr("token", "1 AS n")
+    wanted = float(np.clip(np.quantile(gains, 1 - e.FALSE_SHARE) + 0.5, e.MARGIN, e.MOST_MARGIN))
+    assert e.validated_margin(scored, words) == pytest.approx(wanted) and (rare < 4 or wanted > 5)

@@ -37,8 +37,8 @@ from vitrine.session import checkpointed, lookup_join
 BUCKET_BITS, HASHES = 18, 2
 #: A reading must be so many nats likelier than the token, at least and at most; what lies between is set on the data (see validated_margin).
 MARGIN, MOST_MARGIN = 4.0, 8.0
-#: Clean tokens on which the margin is validated, the most frequent ones, and the share of them that may exceed it.
-VALIDATED, FALSE_SHARE = 2_000, 0.001
+#: The share of clean tokens that may exceed the margin.
+FALSE_SHARE = 0.001
 #: The first training round drops records at this margin already.
 SCREEN_MARGIN = 2.5
 #: Characters that a replacement character may stand for when it is restored, the most frequent first; what is found doesn't depend on it.
@@ -268,43 +268,56 @@ def _train(words: DataFrame) -> Model:
     return Model(tables, "".join(c for c in letters["c"] if len(c) == 1))
 
 
-def validated_margin(words: DataFrame, model: Model) -> float:
-    """The margin that all but FALSE_SHARE of the clean words beyond ASCII keep to: on the VALIDATED most frequent ones, a bounded sample for one number."""
-    sample = words.filter(F.col("token").rlike(BEYOND)).orderBy(F.desc("n"), "token").limit(VALIDATED).toPandas()["token"]
-    gains = [model.best(t)[1] for t in sample if not re.search(BROKEN, t)]
-    return float(np.clip(np.quantile(gains, 1 - FALSE_SHARE) + 0.5, MARGIN, MOST_MARGIN)) if gains else MARGIN
-
-
-def verdicts(words: DataFrame, model: Model, margin: float) -> DataFrame:
-    """(token, restored): garbled tokens; restored is null where no reading beats the token."""
+def gains(words: DataFrame, model: Model) -> DataFrame:
+    """(token, reading, gain): each token's likeliest reading and by how much it beats the token."""
     shared = words.sparkSession.sparkContext.broadcast((np.stack([model.t[o] for o in Model.ORDERS]), model.alphabet))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = Model(*shared.value)
         for pdf in batches:
-            out = []
-            for token in pdf["token"]:
-                reading, gain = own.best(token)
-                if gain > margin and not re.search(BROKEN, reading):
-                    out.append((token, reading))
-                elif re.search(BROKEN, token) or gain > margin:
-                    out.append((token, None))
-            yield pd.DataFrame(out, columns=["token", "restored"]).astype(object)
+            best = [own.best(token) for token in pdf["token"]]
+            yield pd.DataFrame({"token": pdf["token"].to_numpy(), "reading": pd.Series([r for r, _ in best], dtype=object), "gain": np.array([g for _, g in best], dtype="float64")})
+
+    return words.select("token").mapInPandas(score, "token string, reading string, gain double")
+
 
-    return words.select("token").mapInPandas(score, "token string, restored string")
+def validated_margin(scored: DataFrame, words: DataFrame) -> float:
+    """The margin that all but FALSE_SHARE of the distinct clean words beyond ASCII keep to.
+
+    Every one of them counts: the quantile is exact, but only gains that the margin can reach are put in order, the others are counted.
+    """
+    clean = words.filter(F.col("token").rlike(BEYOND)).select("token")
+    every = scored.filter(~F.col("token").rlike(BROKEN)).groupBy(F.regexp_replace("token", "[0-9]", "0").alias("token")).agg(F.max("gain").alias("gain"))
+    every = checkpointed(every.join(clean.hint("merge"), "token", "left_semi").select("gain"))
+    low = MARGIN - 0.5
+    n, most, below, least = every.agg(F.count(F.lit(1)), F.count_if(F.col("gain") >= low), F.max(F.when(F.col("gain") < low, F.col("gain"))), F.min(F.when(F.col("gain") >= low, F.col("gain")))).first()
+    at = (n - 1) * (1 - FALSE_SHARE) - (n - most)  # the quantile's place among the gains from low on
+    if not n or at <= -1:
+        return MARGIN
+    if at < 0:
+        value = below + (at + 1) * (least - below)
+    else:
+        value = every.filter(F.col("gain") >= low).agg(F.percentile("gain", at / max(most - 1, 1))).first()[0]
+    return float(np.clip(value + 0.5, MARGIN, MOST_MARGIN))
+
+
+def verdicts(scored: DataFrame, margin: float) -> DataFrame:
+    """(token, restored): garbled tokens; restored is null where no reading beats the token."""
+    better = F.col("gain") > margin
+    return scored.filter(better | F.col("token").rlike(BROKEN)).select("token", F.when(better & ~F.col("reading").rlike(BROKEN), F.col("reading")).alias("restored"))
 
 
-def fit(counts: DataFrame, suspects: DataFrame) -> tuple[Model, float]:
-    """The model of the second round and its margin; suspects: distinct tokens beyond ASCII (kept)."""
+def fit(counts: DataFrame, suspects: DataFrame) -> tuple[DataFrame, float]:
+    """The suspects scored by the model of the second round, and its margin; suspects: distinct tokens beyond ASCII (kept)."""
     pairs = counts.filter("item IS NOT NULL").select("item", "token")
     records = lambda bad: lookup_join(pairs, bad, ["token"]).select("item").distinct()
     structural = checkpointed(suspects.filter(F.col("token").rlike(BROKEN) | F.col("token").rlike(_utf8_suspects())).select("token"))
     first = _train(checkpointed(vocabulary(counts, records(structural))))
-    screened = checkpointed(verdicts(suspects, first, SCREEN_MARGIN).select("token"))
+    screened = checkpointed(verdicts(gains(suspects, first), SCREEN_MARGIN).select("token"))
     # clean records: none of their tokens flagged by the first model
     clean = checkpointed(vocabulary(counts, records(screened)))
-    model = _train(clean)
-    return model, validated_margin(clean, model)
+    scored = checkpointed(gains(suspects, _train(clean)))
+    return scored, validated_margin(scored, clean)
 
 
 def garbled_tokens(df: DataFrame, item: str, text: str) -> DataFrame:
@@ -312,8 +325,8 @@ def garbled_tokens(df: DataFrame, item: str, text: str) -> DataFrame:
     counts = checkpointed(token_counts(df, item, text))
     pairs = counts.filter("item IS NOT NULL").select("item", "token")
     suspects = checkpointed(pairs.select("token").distinct().repartition(df.sparkSession.sparkContext.defaultParallelism * 2))
-    model, margin = fit(counts, suspects)
-    bad = checkpointed(verdicts(suspects, model, margin))
+    scored, margin = fit(counts, suspects)
+    bad = checkpointed(verdicts(scored, margin))
     return lookup_join(pairs, bad, ["token"]).select(F.col("item").alias(item), "token", "restored")
 
 
